@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import packing, tokens
+from factloom.llm import packing, parsing, tokens
 from factloom.session import cut
 from factloom.sources.tables import table
 
@@ -58,3 +58,16 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(*_packed(spark, folder))
 
 
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Source files that do not parse."""
+    return parsing.faults(table(spark, folder, "documents")).select("doc_id")
+
+
+@query
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of files that do not parse, per repository and language."""
+    docs = table(spark, folder, "documents")
+    return parsing.rates(docs, parsing.faults(docs))
