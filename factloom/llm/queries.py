@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import packing, parsing, tokens
+from factloom.llm import documented, packing, parsing, tokens
 from factloom.session import cut
 from factloom.sources.tables import table
 
@@ -71,3 +71,17 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Share of files that do not parse, per repository and language."""
     docs = table(spark, folder, "documents")
     return parsing.rates(docs, parsing.faults(docs))
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documented functions of the files that parse."""
+    docs = table(spark, folder, "documents")
+    found = documented.documented(docs, with_code=False).select("doc_id", "method_name", "start_line").distinct()
+    return found.join(parsing.faults(docs).select("doc_id"), "doc_id", "left_anti")
+
+
+@query
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and description of documented functions, from broken files too, without templates."""
+    return documented.pairs(table(spark, folder, "documents"))
