@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import documented, packing, parsing, tokens
+from factloom.llm import documented, handwritten, packing, parsing, tokens
 from factloom.session import cut
 from factloom.sources.tables import table
 
@@ -85,3 +85,39 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Code and description of documented functions, from broken files too, without templates."""
     return documented.pairs(table(spark, folder, "documents"))
+
+
+def _paths(spark: SparkSession, folder: str) -> list[DataFrame]:
+    own = handwritten.clean_path(F.col("file_path"))
+    out = [table(spark, folder, t).select(own.alias("file_path"), own.alias("judged")) for t in ("documents", "methods", "js_module")]
+    governing = handwritten.clean_path(F.col("governing_package_json_path"))
+    return [*out, table(spark, folder, "js_module").select(own.alias("file_path"), F.regexp_replace(governing, "^/checkout/", "").alias("judged"))]
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").where(F.col("file_path").isNotNull())
+
+
+@query
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that were not written by hand."""
+    docs = _files(spark, folder)
+    paths = _paths(spark, folder)
+    return handwritten.found(docs, paths, handwritten.fit(docs, paths)).select("file_path").distinct()
+
+
+@query
+def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The source documents that remain once the others are out."""
+    docs = _files(spark, folder)
+    paths = _paths(spark, folder)
+    bad = handwritten.found(docs, paths, handwritten.fit(docs, paths)).select("file_path").distinct()
+    return docs.select("doc_id", "repo", handwritten.clean_path(F.col("file_path")).alias("file_path")).join(bad, "file_path", "left_anti")
+
+
+@query
+def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """How both classifiers judge the labels of the repositories kept for validation."""
+    models = handwritten.fit(_files(spark, folder), _paths(spark, folder))
+    rows = [(name, int(m.report["rows"]), round(m.report["precision"], 4), round(m.report["recall"], 4)) for name, m in zip(("path", "text"), models)]
+    return spark.createDataFrame(rows, "classifier string, labelled bigint, precision double, recall double")
