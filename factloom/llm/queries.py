@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import documented, handwritten, packing, parsing, tokens
+from factloom.llm import documented, handwritten, packing, parsing, personal, tagger, tokens
 from factloom.session import cut
 from factloom.sources.tables import table
 
@@ -121,3 +121,34 @@ def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
     models = handwritten.fit(_files(spark, folder), _paths(spark, folder))
     rows = [(name, int(m.report["rows"]), round(m.report["precision"], 4), round(m.report["recall"], 4)) for name, m in zip(("path", "text"), models)]
     return spark.createDataFrame(rows, "classifier string, labelled bigint, precision double, recall double")
+
+
+_TAGGERS: dict[str, tagger.Tagger] = {}
+
+
+def _tagger(spark: SparkSession, folder: str) -> tagger.Tagger:
+    """The tagger trained on a bounded sample of a folder's documents; kept for the folder's other queries."""
+    if folder not in _TAGGERS:
+        _TAGGERS[folder] = personal.train(personal.sample_windows(table(spark, folder, "documents")))
+    return _TAGGERS[folder]
+
+
+@query
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of personal information."""
+    return personal.mentions(table(spark, folder, "documents"), _tagger(spark, folder)).select("doc_id", "pii_type", "start_char").distinct()
+
+
+@query
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with each mention replaced by a placeholder of its type."""
+    return personal.redact(table(spark, folder, "documents"), _tagger(spark, folder))
+
+
+@query
+def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions and documents with mentions, per source and type."""
+    docs = table(spark, folder, "documents")
+    found = personal.mentions(docs, _tagger(spark, folder)).dropDuplicates(["doc_id", "pii_type", "start_char"]).groupBy("doc_id", "pii_type").count()
+    joined = found.join(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    return joined.groupBy("source", "pii_type").agg(F.sum("count").alias("mentions"), F.count(F.lit(1)).alias("docs"))
