@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.graph_queries import flagship
 from factloom.operators import orphans, rejects
+from factloom.registry import QUERIES, SQL, query
 from factloom.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     methods, edges = table(spark, folder, "methods"), table(spark, folder, "call_edges")
