@@ -42,7 +42,7 @@ Params = "(" [ Param {{ "," Param }} [ "," ] ] ")" ;
 Param = [ "..." ] ( Id | ArrayLit | ObjectLit ) [ "=" Expr ] ;
 Class = {{ Decorator }} "class" [ Id ] [ "extends" Unary ] ClassBody ;
 ClassBody = "{{" {{ Member }} "}}" ;
-Decorator = "@" Id {{ "." id }} [ Args ] ;
+Decorator = "@" key [ Args ] | "@" key {{ "." id }} Args ;
 Member = {{ Decorator }} {{ pre }} ( [ "*" ] Key Params Block | Key [ "=" Expr ] ";" | ";" | pre Block ) ;
 Key = Id | str | num | "[" Expr "]" | AnyWord ;
 AnyWord = "delete" | "default" | "catch" | "finally" | "if" | "for" | "in" | "new" | "return" | "import" | "export" | "with" | "throw" | "null" | "true" | "false" | "typeof" | "void" | "class" | "function" | "continue" | "break" ;
@@ -132,8 +132,9 @@ TypeParam = {{ Annotation }} id [ "extends" Type {{ "&" Type }} ] ;
 Block = "{{" {{ Stmt }} "}}" ;
 Stmt = Block | ";" | {{ "final" | Annotation }} Type Vars ";" | {{ "final" | "abstract" | "static" | Annotation }} TypeBodyDecl | Expr ";" | "if" "(" Expr ")" Stmt [ "else" Stmt ]
   | "while" "(" Expr ")" Stmt | "do" Stmt "while" "(" Expr ")" ";" | "for" "(" ForHead ")" Stmt | "return" [ Expr ] ";" | "break" [ id ] ";" | "continue" [ id ] ";"
-  | "throw" Expr ";" | "try" [ "(" Resources ")" ] Block {{ "catch" "(" {{ "final" | Annotation }} Type {{ "|" Type }} id ")" Block }} [ "finally" Block ] | "switch" "(" Expr ")" Switch
+  | "throw" Expr ";" | "try" Block ( CatchOne {{ CatchOne }} [ "finally" Block ] | "finally" Block ) | "try" "(" Resources ")" Block {{ CatchOne }} [ "finally" Block ] | "switch" "(" Expr ")" Switch
   | "synchronized" "(" Expr ")" Block | id ":" Stmt | "assert" Expr [ ":" Expr ] ";" | id Expr ";" ;
+CatchOne = "catch" "(" {{ "final" | Annotation }} Type {{ "|" Type }} id ")" Block ;
 Resources = Resource {{ ";" Resource }} [ ";" ] ;
 Resource = {{ "final" | Annotation }} Type id "=" Expr | Expr ;
 ForHead = [ Type Vars | Expr {{ "," Expr }} ] ";" [ Expr ] ";" [ Expr {{ "," Expr }} ] | {{ "final" | Annotation }} Type id ":" Expr ;
@@ -182,8 +183,9 @@ Block = "{{" {{ Stmt }} "}}" ;
 Stmt = Block | ";" | [ "const" | "ref" | "using" | "await" "using" ] Type Vars ";" | Expr ";" | "if" "(" Expr ")" Stmt [ "else" Stmt ] | "while" "(" Expr ")" Stmt | "do" Stmt "while" "(" Expr ")" ";"
   | "for" "(" [ Type Vars | Expr ] ";" [ Expr ] ";" [ Expr {{ "," Expr }} ] ")" Stmt | [ id ] "foreach" "(" Type id "in" Expr ")" Stmt | "foreach" "(" id Tuple "in" Expr ")" Stmt
   | "return" [ Expr ] ";" | "break" ";" | "continue" ";" | "goto" ( id | "case" Expr | "default" ) ";" | "throw" [ Expr ] ";"
-  | "try" Block {{ "catch" [ "(" Type [ id ] ")" ] [ id "(" Expr ")" ] Block }} [ "finally" Block ] | "switch" "(" Expr ")" "{{" {{ ( "case" Pattern [ id Expr ] | "default" ) ":" {{ Stmt }} }} "}}"
+  | "try" Block ( CatchOne {{ CatchOne }} [ "finally" Block ] | "finally" Block ) | "switch" "(" Expr ")" "{{" {{ ( "case" Pattern [ id Expr ] | "default" ) ":" {{ Stmt }} }} "}}"
   | ( "lock" | "using" | "fixed" ) "(" ( Expr | Type Vars ) ")" Stmt | ( "checked" | "unchecked" | "unsafe" ) Block | id ":" Stmt | id ( "return" Expr | "break" ) ";" | {{ "static" | id }} Type id [ TypeParams ] "(" [ Params ] ")" Where Code | id Tuple "=" Expr ";" ;
+CatchOne = "catch" [ "(" Type [ id ] ")" ] [ id "(" Expr ")" ] Block ;
 Tuple = "(" id {{ "," id }} ")" ;
 Pattern = Expr | Type id | "null" | ( "<" | ">" | "<=" ) Expr | "{{" [ id ":" Pattern {{ "," id ":" Pattern }} ] "}}" | id Pattern ;
 Expr = Unary {{ Op Unary }} ;

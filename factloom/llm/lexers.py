@@ -235,6 +235,7 @@ def _script_context(code: np.ndarray, doc: np.ndarray, n: dict[str, int]) -> np.
     code = np.where(np.isin(code, [n["pre"], n["mid"]]) & np.isin(prev, [n["."], n["?."]]), n["id"], code)
     plain = np.isin(code, [n["id"], n["pre"], n["mid"]])
     code = np.where(plain & (prev == n["const"]), n["cid"], code)
+    code = np.where(plain & (prev == n["@"]), n["key"], code)
     return np.where(plain & (prev == n["import"]) & (after != n["{"]), n["iid"], code)
 
 
