@@ -166,7 +166,7 @@ def test_handwritten_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, file_path string, repo string, label int")
     paths = [df.select(handwritten.clean_path(F.col("file_path")).alias("file_path"), handwritten.clean_path(F.col("file_path")).alias("judged"))]
     found = {r.file_path for r in handwritten.found(df, paths, handwritten.fit(df, paths)).collect()}
-    want = {p.replace("\\", "/") for k, _, p, _, _ in rows if p and k < 900 and (k % 2 == 0 and k % 4 != 1 or k % 6 == 5)} if False else {p for k, _, p, _, _ in rows if k < 900 and (k % 4 in (0, 2) or k % 6 == 5)} | {"r1/vendor/x.js", "r2/src/app/g.js"}
+    want = {p for k, _, p, _, _ in rows if k < 900 and (k % 4 in (0, 2) or k % 6 == 5)} | {"r1/vendor/x.js", "r2/src/app/g.js"}
     assert len(found ^ want) <= 4, (found ^ want)
     none = df.limit(0)
     empty = [none.select(F.col("file_path"), F.col("file_path").alias("judged"))]
