@@ -25,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.operators.sampling import smallest_hashes
+from factloom.session import cut
+
 #: Labelled rows read for fitting at most: paths of both labels, and texts of each label.
 PATH_SAMPLE, TEXT_SAMPLE = 12_000, 1_500
 PATH_BUCKETS, TEXT_BUCKETS = 1 << 20, 1 << 12
@@ -228,8 +231,8 @@ def _label_paths(paths: DataFrame) -> DataFrame:
 
 
 def _smallest(rows: DataFrame, label: int, most: int) -> DataFrame:
-    """At most ``most`` rows of a label, those with the smallest hashes; each task passes on no more than that."""
-    return rows.where(F.col("label") == label).orderBy(F.xxhash64("path"), "path").limit(most)
+    """At most ``most`` rows of a label, those with the smallest hashes."""
+    return smallest_hashes(rows.where(F.col("label") == label), "path", most)
 
 
 def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear]:
@@ -238,8 +241,6 @@ def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear]:
     The samples are, for each label, the rows with the smallest hashes of their path. ``paths`` is as for ``found``;
     the first part of a path is its repository.
     """
-    from factloom.session import cut
-
     texts = cut(_label_texts(docs), "hand-texts")
     every = paths[0].select("judged")
     for frame in paths[1:]:
