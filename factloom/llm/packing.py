@@ -138,7 +138,8 @@ def pack(sizes: DataFrame, capacities: dict[str, int], id_col: str = "doc_id", s
     before = F.sum("n").over(W.partitionBy(*by).orderBy("salt")) - F.col("n")
     offsets = parts.select(*by, "salt", before.alias("before"))
     ranked = pieces.withColumn("nth", F.row_number().over(W.partitionBy(*by, "salt").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), [*by, "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # both sides are partitioned by size and salt, so this join moves the offsets only
+    ranked = ranked.join(offsets.hint("merge"), [*by, "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
     where = F.broadcast(spark.createDataFrame(plan, PLAN_SCHEMA))
     r, p = ranked.alias("r"), where.alias("p")
     hit = (F.col("r.window_id") == F.col("p.window_id")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.rank") >= F.col("p.rank_lo")) & (F.col("r.rank") < F.col("p.rank_hi"))
