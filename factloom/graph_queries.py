@@ -228,7 +228,7 @@ def suffix_join(spark, folder):
 
 
 _SEG = "list_transform(list_filter(string_split({0}, '/'), lambda s: s <> ''), lambda s: CASE WHEN starts_with(s, ':') OR contains(s, '{{') OR s = '*' THEN '*' ELSE s END)"
-_ROUTES = f"""w AS (SELECT DISTINCT '/' || event_type || '/' || user_id AS route FROM events), r AS (SELECT DISTINCT '/' || event_type || '/:user' AS template FROM events UNION SELECT DISTINCT '/' || event_type || '/' || user_id FROM events WHERE user_id < 20),
+_ROUTES = f"""w AS (SELECT DISTINCT '/' || event_type || '/' || user_id AS route FROM events), r AS (SELECT DISTINCT '/' || event_type || '/:user' AS template FROM events UNION SELECT DISTINCT '/' || event_type || '/' || user_id FROM events WHERE value > 100),
  ws AS (SELECT route, {_SEG.format('route')} AS a FROM w), rs AS (SELECT template, {_SEG.format('template')} AS b FROM r),
  p AS (SELECT route, template, list_sum(list_transform(list_zip(a, b), lambda x: CASE WHEN x[1] = x[2] AND x[1] <> '*' THEN 1 ELSE 0 END)) AS same, list_bool_and(list_transform(list_zip(a, b), lambda x: x[1] = x[2] OR x[1] = '*' OR x[2] = '*')) AS fits FROM ws JOIN rs ON len(a) = len(b) AND a[1] = b[1])"""
 
@@ -238,7 +238,7 @@ def route_match(spark, folder):
     """Routes written against templates registered; the more literal template wins."""
     e = table(spark, folder, "events")
     route = F.concat(F.lit("/"), "event_type", F.lit("/"), F.col("user_id").cast("string"))
-    registered = e.select(F.concat(F.lit("/"), "event_type", F.lit("/:user")).alias("template")).union(e.where("user_id < 20").select(route))
+    registered = e.select(F.concat(F.lit("/"), "event_type", F.lit("/:user")).alias("template")).union(e.where("value > 100").select(route))
     return joins.match_routes(e.select(route.alias("route")), registered)
 
 
@@ -402,15 +402,22 @@ def lexical_score(spark, folder):
     return rows.withColumn("score", lexical.field_score(F.col("name"), F.col("file_path"), "visit"))
 
 
-@query("""WITH o AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 11 <> 0)
- SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change,
- CASE WHEN o.c_custkey IS NULL OR n.c_custkey IS NULL THEN 'c_acctbal,c_mktsegment' ELSE 'c_acctbal' END AS changed FROM o FULL JOIN n ON o.c_custkey = n.c_custkey WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal <> n.c_acctbal""")
+_LIVE = "SELECT DISTINCT id, start_line, end_line, access FROM types WHERE loaded_at <= TIMESTAMP '{0}' AND (deleted_at IS NULL OR deleted_at > TIMESTAMP '{0}')"
+_THEN, _NOW = "2025-06-01 00:00:00", "2025-12-01 00:00:00"
+
+
+@query(f"""WITH o AS ({_LIVE.format(_THEN)}), n AS ({_LIVE.format(_NOW)}), d AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+ concat_ws(',', CASE WHEN o.start_line IS DISTINCT FROM n.start_line THEN 'start_line' END, CASE WHEN o.end_line IS DISTINCT FROM n.end_line THEN 'end_line' END, CASE WHEN o.access IS DISTINCT FROM n.access THEN 'access' END) AS changed FROM o FULL JOIN n ON o.id = n.id)
+ SELECT id, change, changed FROM d WHERE change <> 'changed' OR changed <> ''""")
 def snapshot_diff(spark, folder):
-    """Two versions of the customers, derived from the whole table, and what changed between them."""
-    c = table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    old = c.where("c_custkey % 7 <> 0")
-    new = c.where("c_custkey % 11 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
-    return snapshots.diff(old, new, "c_custkey", ["c_acctbal", "c_mktsegment"])
+    """What changed in the types between two moments, from the versions live at each."""
+
+    def live(at: str) -> DataFrame:
+        moment = F.lit(at).cast("timestamp")
+        rows = table(spark, folder, "types").where((F.col("loaded_at") <= moment) & (F.col("deleted_at").isNull() | (F.col("deleted_at") > moment)))
+        return rows.select("id", "start_line", "end_line", "access").distinct()
+
+    return snapshots.diff(live(_THEN), live(_NOW), "id", ["start_line", "end_line", "access"])
 
 
 @query("SELECT count(*) AS lost FROM orders WHERE o_orderkey NOT IN (SELECT DISTINCT l_orderkey FROM lineitem UNION SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))")
