@@ -40,3 +40,31 @@ def bare_route(url: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Words of at least two letters in a text, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
+
+
+def slashed(path: Column) -> Column:
+    """A path with forward slashes and without leading ``./``."""
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+
+
+def relaxed(name: Column) -> Column:
+    """A name without case, hyphens, underscores and dots, as configuration keys are compared."""
+    return F.lower(F.regexp_replace(name, "[-_.]", ""))
+
+
+def positions(text: Column, char: str) -> Column:
+    """Places of a character in a text, from 0; null for null."""
+    places = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)))
+    return F.when(text.isNotNull(), F.filter(places, lambda k: F.substr(text, k + 1, F.lit(1)) == char))
+
+
+def prefixes(name: Column, deepest: int, separator: str = ".") -> Column:
+    """The first 1 to ``deepest`` segments of a name, each put together again; null for null."""
+    parts = F.split(name, F.lit(f"\\Q{separator}\\E"))
+    levels = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(deepest)))
+    return F.when(name.isNotNull(), F.transform(levels, lambda k: F.array_join(F.slice(parts, F.lit(1), k), separator)))
+
+
+def without_comments(code: Column) -> Column:
+    """Code of the C family with a blank in place of each comment and double-quoted string."""
+    return F.regexp_replace(code, r'(?s)/\*.*?\*/|//[^\n]*|"[^"\n]*"', " ")

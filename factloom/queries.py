@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom import resolution_queries  # noqa: F401  registers its queries
 from factloom.graph_queries import flagship
 from factloom.operators import orphans, rejects
 from factloom.registry import QUERIES, SQL, query

@@ -180,3 +180,58 @@ def test_entry_works_without_text_operators():
     for path in glob.glob(f"{here}/factloom/**/*.py", recursive=True):
         if "/llm/" not in path:
             assert not re.search(r"^\s*(?:from|import) .*\bllm\b", open(path).read(), re.M), path
+
+
+def test_scopes_take_the_innermost_and_tell_ties(spark):
+    from factloom.operators import resolution
+
+    items = spark.createDataFrame([("f", "A"), ("g", "A"), ("h", None), (None, "A")], "name string, owner string")
+    known = spark.createDataFrame([("1", "f", "A"), ("1", "f", "A"), ("2", "f", "B"), ("3", "g", "B"), ("4", "g", "C"), ("5", None, "A")], "id string, name string, owner string")
+    got = {(r.name, r.owner): (r.depth, r.candidates, r.id) for r in resolution.by_scope(items, known, "id", [["name", "owner"], ["name"]]).collect()}
+    assert got == {("f", "A"): (0, 1, "1"), ("g", "A"): (1, 2, None), ("h", None): (None, None, None), (None, "A"): (None, None, None)}
+    assert resolution.by_scope(items, known.where("false"), "id", [["name"]]).where("depth IS NULL").count() == 4
+
+
+def test_sources_by_priority(spark):
+    from factloom.operators import resolution
+
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "i int, k string")
+    one, two = spark.createDataFrame([("a", "x"), ("a", "w"), (None, "n")], "k string, v string"), spark.createDataFrame([("a", "y"), ("b", "z")], "k string, v string")
+    got = {r.i: (r.v, r.source) for r in resolution.first_source(items, "k", [("one", one), ("two", two)], "v").collect()}
+    assert got == {1: ("w", "one"), 2: ("z", "two"), 3: (None, None), 4: (None, None)}
+
+
+def test_candidates_and_versions(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators import resolution
+
+    rows = spark.createDataFrame([("f", "1", None), ("f", "1", "x"), ("g", "2", "x"), ("g", "3", "public"), ("h", "4", "public"), ("h", "5", "public"), (None, "6", "public")], "name string, id string, access string")
+    got = {r.name: (r.n, r.chosen) for r in resolution.sole_candidate(rows, "name", "id", F.col("access") == "public").collect()}
+    assert got == {"f": (1, "1"), "g": (2, "3"), "h": (2, None)}
+    versions = spark.createDataFrame([("a", 1, "p", 1), ("a", 1, "p", 1), ("a", 2, None, 1), ("a", 3, None, 1), ("b", 1, None, None), (None, 1, "p", 1)], "id string, at int, access string, line int")
+    assert {tuple(r) for r in resolution.version_changes(versions, "id", "at", ["access", "line"]).collect()} == {("a", 2, "access")}
+
+
+def test_inheritance_order_and_listeners(spark):
+    from factloom.operators import resolution
+
+    up = spark.createDataFrame([("c", "b"), ("c", "a"), ("b", "a")], "src string, dst string")
+    assert {tuple(r) for r in resolution.linear_order(up).collect()} == {("c", "b", 0), ("c", "a", 1), ("b", "a", 0)}
+    listening = spark.createDataFrame([("own", "c"), ("above", "a"), ("any", "*"), ("other", "x")], "listener string, type string")
+    got = resolution.listeners(spark.createDataFrame([("c",), ("c",), (None,)], "type string"), listening, up, "*").where("type = 'c'").collect()
+    assert {r.listener for r in got} == {"own", "above", "any"} and len(got) == 3
+
+
+def test_last_before_and_name_functions(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.functions import names
+    from factloom.operators import resolution
+
+    rows = spark.createDataFrame([("u", 1, "v"), ("u", 2, "c"), ("u", 3, "v"), ("w", 1, None)], "user string, t int, kind string")
+    got = {(r.user, r.t): r.last for r in resolution.last_before(rows, "user", ["t"], "t", F.col("kind") == "v", "last").collect()}
+    assert got == {("u", 1): None, ("u", 2): 1, ("u", 3): 1, ("w", 1): None}
+    df = spark.createDataFrame([("a.b_C.d", 'x /* a\n"b" */ y // z\n"s//" w'), ("", ""), (None, None)], "n string, code string")
+    out = df.select(names.positions(F.col("n"), ".").alias("p"), names.prefixes(F.col("n"), 2).alias("x"), names.relaxed(F.col("n")).alias("r"), names.without_comments(F.col("code")).alias("c")).collect()
+    assert out[0] == ([1, 5], ["a", "a.b_C"], "abcd", "x   y  \n  w") and out[1] == ([], [""], "", "") and list(out[2]) == [None] * 4
