@@ -1,17 +1,18 @@
 """Files that were not written by hand: generated, minified, third-party copies, data saved as code.
 
-Two linear support-vector classifiers decide. One reads hashed components of a path: directories and their pairs, and
-the beginning and end of the file's name. The other reads hashed character n-grams of a text. Labels come from what
-gives a file away: the names that tools and conventions give to paths, and the shape of texts. Notices in opening
-comments are masked before a text is read, so that the text classifier learns bodies, and a path whose file carries a
-notice under an ordinary name is no example for the path classifier. Both are fitted on a bounded sample; part of
-the repositories is kept for validation, on which the threshold is chosen. Every row of every table is then scored where
-it lies: a file is a case if its path, its governing package's path or its text scores above the threshold, or if its
-opening comments carry a notice, which is the exact check behind the classifiers.
+Three linear support-vector classifiers decide. One reads hashed components of a path: directories and their pairs, and
+the beginning and end of the file's name. The second reads hashed character n-grams of a text's body, the third those of
+the comments that it opens with. Labels come from what gives a file away: the names that tools and conventions give to
+paths, the shape of texts, and notices. The opening comments are masked before a body is read, so that the second
+classifier learns bodies, and a path whose file carries a notice under an ordinary name is no example for the first. All
+are fitted on bounded samples; part of the repositories is kept for validation. Every row of every table is then scored
+where it lies: a file is a case if its path, its governing package's path or its body scores above the threshold, or if
+its opening comments do and, by an exact check behind that classifier, carry a notice. Since that check follows, the
+third classifier's threshold is lowered by ``SLACK``.
 
 Defined cases: paths are written with forward slashes and without leading ``./``; rows without a path are left out;
-null and empty texts are judged by path alone; repeated rows give one row; an empty sample gives classifiers that find
-nothing, so that only notices count.
+null and empty texts are judged by path alone; repeated rows give one row; an empty sample gives classifiers of paths and
+bodies that find nothing, and one of opening comments that passes all of them on to the exact check.
 """
 
 from __future__ import annotations
@@ -28,11 +29,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.operators.sampling import smallest_hashes
 from factloom.session import cut
 
-#: Labelled rows read for fitting at most: paths of both labels, and texts of each label.
-PATH_SAMPLE, TEXT_SAMPLE = 12_000, 1_500
+#: Labelled rows read for fitting at most: paths of both labels, texts and opening comments of each label.
+PATH_SAMPLE, TEXT_SAMPLE, OPENING_SAMPLE = 12_000, 1_500, 500
+#: Notices that must be among the samples for a classifier of opening comments; with fewer, all go to the exact check.
+LEAST_NOTICES = 50
 PATH_BUCKETS, TEXT_BUCKETS = 1 << 20, 1 << 12
 #: Characters of a n-gram, and the share of repositories kept for validation.
 NGRAM, VALIDATION = 4, 0.2
+#: How far below the threshold opening comments still go to the exact check; classes lie 2 apart.
+SLACK = 0.75
 #: Path components must occur in so many repositories, so that no single project's names count.
 LEAST_REPOS = 3
 
@@ -99,12 +104,11 @@ def path_features(path: str) -> list[int]:
     return sorted({zlib.crc32(x.encode()) % PATH_BUCKETS for x in out})
 
 
-def text_features(text: str) -> np.ndarray:
-    """Counts of a text's n-grams by bucket, dampened and of length 1; notices and source maps are masked."""
-    raw = np.frombuffer(_MAPPING.sub("", text[len(opening(text)) :]).encode(), np.uint8).astype(np.uint32)
+def ngrams(part: str) -> np.ndarray:
+    """Counts of a passage's n-grams by bucket, dampened and of length 1."""
+    raw = np.frombuffer(part.encode(), np.uint8).astype(np.uint32)
     if len(raw) < NGRAM:
         return np.zeros(TEXT_BUCKETS, np.float32)
-    # letters and digits each as one kind, so that vocabulary counts for less than form
     h = raw[: len(raw) - NGRAM + 1] * np.uint32(0x9E3779B1)
     for k in range(1, NGRAM):
         h = (h ^ raw[k : len(raw) - NGRAM + 1 + k]) * np.uint32(0x85EBCA6B)
@@ -113,6 +117,16 @@ def text_features(text: str) -> np.ndarray:
     return out / np.float32(np.sqrt((out * out).sum()))
 
 
+def text_features(text: str) -> np.ndarray:
+    """The n-grams of a text's body; opening comments and source maps are masked."""
+    return ngrams(_MAPPING.sub("", text[len(opening(text)) :]))
+
+
+def opening_features(text: str) -> np.ndarray:
+    """The n-grams of the comments that a text opens with."""
+    return ngrams(opening(text))
+
+
 @dataclass(frozen=True)
 class Linear:
     """Weights, threshold, and how the validation repositories were judged."""
@@ -197,26 +211,52 @@ def fit_texts(rows: list[tuple[str, np.ndarray, int]]) -> Linear:
     return Linear(w[:-1].astype(np.float32), float(-w[-1]), _report(x[held] @ w[:-1] + w[-1], y[held]))
 
 
+def fit_openings(rows: list[tuple[str, np.ndarray, int]]) -> Linear:
+    """A classifier from ``(repo, features, label)`` whose threshold leaves the rest to the exact check."""
+    if sum(label for _, _, label in rows) < LEAST_NOTICES:
+        return Linear(np.zeros(TEXT_BUCKETS, np.float32), -1.0, {"rows": 0.0, "precision": 1.0, "recall": 1.0})
+    fitted = fit_texts(rows)
+    return Linear(fitted.weights, fitted.threshold - SLACK, fitted.report)
+
+
 def _label_texts(docs: DataFrame) -> DataFrame:
-    """``(repo, path, label)`` of source files with a text, labelled by its shape: 1 for cases, 2 for a notice alone."""
+    """``(repo, path, label, notice)`` of source files, labelled by shape: 1 for cases, 2 for a notice alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [t or "" for t in batch.column(2).to_pylist()]
-            by_shape = [1 if shaped(t) else 2 if noticed(t) else 0 for t in text]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(by_shape, pa.int32())], ["repo", "path", "label"])
+            notice = [noticed(t) for t in text]
+            by_shape = [1 if shaped(t) else 2 if n else 0 for t, n in zip(text, notice)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(by_shape, pa.int32()), pa.array(notice, pa.bool_())], ["repo", "path", "label", "notice"])
 
     rows = docs.select(F.coalesce("repo", F.lit("")).alias("repo"), clean_path(F.col("file_path")).alias("path"), "text").where(F.col("path").isNotNull())
-    return rows.mapInArrow(run, "repo string, path string, label int")
+    return rows.mapInArrow(run, "repo string, path string, label int, notice boolean")
+
+
+def _sparse(features: np.ndarray) -> bytes:
+    """Buckets and values of what is not zero, as two runs of two bytes each."""
+    at = np.flatnonzero(features)
+    return at.astype(np.uint16).tobytes() + features[at].astype(np.float16).tobytes()
+
+
+def _dense(packed: bytes) -> np.ndarray:
+    out = np.zeros(TEXT_BUCKETS, np.float32)
+    half = len(packed) // 2
+    out[np.frombuffer(packed[:half], np.uint16)] = np.frombuffer(packed[half:], np.float16)
+    return out
 
 
 def _features(rows: DataFrame) -> DataFrame:
+    """Features of ``rows (repo, text, label, notice)``: of the body where it has a label, of the opening likewise."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [text_features(t or "").astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["repo", "features", "label"])
+            text, label, notice = [batch.column(k).to_pylist() for k in (1, 2, 3)]
+            body = [None if x is None else _sparse(text_features(t or "")) for t, x in zip(text, label)]
+            head = [None if x is None else _sparse(opening_features(t or "")) for t, x in zip(text, notice)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary()), batch.column(2), pa.array(head, pa.binary()), batch.column(3)], ["repo", "body", "label", "head", "notice"])
 
-    return rows.mapInArrow(run, "repo string, features binary, label int")
+    return rows.mapInArrow(run, "repo string, body binary, label int, head binary, notice int")
 
 
 def _label_paths(paths: DataFrame) -> DataFrame:
@@ -235,8 +275,9 @@ def _smallest(rows: DataFrame, label: int, most: int) -> DataFrame:
     return smallest_hashes(rows.where(F.col("label") == label), "path", most)
 
 
-def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear]:
-    """The path and text classifiers, fitted on samples bounded by ``PATH_SAMPLE`` and ``TEXT_SAMPLE``.
+def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear, Linear]:
+    """The classifiers of paths, bodies and opening comments, fitted on samples bounded by ``PATH_SAMPLE``,
+    ``TEXT_SAMPLE`` and ``OPENING_SAMPLE``.
 
     The samples are, for each label, the rows with the smallest hashes of their path. ``paths`` is as for ``found``;
     the first part of a path is its repository.
@@ -248,10 +289,16 @@ def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear]:
     names = cut(_label_paths(every.where(F.col("judged").isNotNull()).distinct().withColumnRenamed("judged", "path")), "hand-paths")
     noticed_paths = texts.where("label = 2").select("path").distinct()
     named = _smallest(names, 1, PATH_SAMPLE // 2).unionByName(_smallest(names.join(noticed_paths, "path", "left_anti"), 0, PATH_SAMPLE // 2)).collect()
-    chosen = _smallest(texts, 1, TEXT_SAMPLE).unionByName(_smallest(texts, 0, TEXT_SAMPLE)).select("path", "label").dropDuplicates(["path"])
-    sample = docs.select(F.coalesce("repo", F.lit("")).alias("repo"), clean_path(F.col("file_path")).alias("path"), "text").join(F.broadcast(chosen), "path").select("repo", "text", "label")
-    features = [(r.repo, np.frombuffer(r.features, np.float16).astype(np.float32), r.label) for r in _features(sample).collect()]
-    return fit_paths([(r.repo, r.path, r.label) for r in named]), fit_texts(features)
+    bodies = _smallest(texts, 1, TEXT_SAMPLE).unionByName(_smallest(texts, 0, TEXT_SAMPLE)).select("path", "label", F.lit(None).cast("int").alias("notice"))
+    heads = smallest_hashes(texts.where("notice"), "path", OPENING_SAMPLE).unionByName(smallest_hashes(texts.where("NOT notice"), "path", OPENING_SAMPLE)).select("path", F.lit(None).cast("int").alias("label"), F.col("notice").cast("int"))
+    chosen = bodies.unionByName(heads).groupBy("path").agg(F.max("label").alias("label"), F.max("notice").alias("notice"))
+    sample = docs.select(F.coalesce("repo", F.lit("")).alias("repo"), clean_path(F.col("file_path")).alias("path"), "text").join(F.broadcast(chosen), "path").select("repo", "text", "label", "notice")
+    features = _features(sample).collect()
+    return (
+        fit_paths([(r.repo, r.path, r.label) for r in named]),
+        fit_texts([(r.repo, _dense(r.body), r.label) for r in features if r.body is not None]),
+        fit_openings([(r.repo, _dense(r.head), r.notice) for r in features if r.head is not None]),
+    )
 
 
 def _score_paths(column: pa.Array, model: Linear) -> np.ndarray:
@@ -263,13 +310,13 @@ def _score_paths(column: pa.Array, model: Linear) -> np.ndarray:
     return score[np.where(np.isnan(at.astype(float)), len(known), at.astype(float)).astype(np.int64)] if column.null_count else score[at]
 
 
-def found(docs: DataFrame, paths: list[DataFrame], models: tuple[Linear, Linear]) -> DataFrame:
+def found(docs: DataFrame, paths: list[DataFrame], models: tuple[Linear, Linear, Linear]) -> DataFrame:
     """``(file_path, reason)`` of every case, once per reason.
 
     ``paths`` are frames ``(file_path, judged)``: the path to report, and a path that speaks for it, its own or its
     governing package's.
     """
-    by_path, by_text = models
+    by_path, by_text, by_opening = models
 
     def judge_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +330,7 @@ def found(docs: DataFrame, paths: list[DataFrame], models: tuple[Linear, Linear]
             for p, t in zip(path, text):
                 if t and float(text_features(t) @ by_text.weights) > by_text.threshold:
                     out.append((p, "text"))
-                if t and noticed(t):
+                if t and float(opening_features(t) @ by_opening.weights) > by_opening.threshold and noticed(t):
                     out.append((p, "notice"))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["file_path", "reason"])
 

@@ -117,9 +117,9 @@ def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """How both classifiers judge the labels of the repositories kept for validation."""
+    """How the classifiers judge the labels of the repositories kept for validation."""
     models = handwritten.fit(_files(spark, folder), _paths(spark, folder))
-    rows = [(name, int(m.report["rows"]), round(m.report["precision"], 4), round(m.report["recall"], 4)) for name, m in zip(("path", "text"), models)]
+    rows = [(name, int(m.report["rows"]), round(m.report["precision"], 4), round(m.report["recall"], 4)) for name, m in zip(("path", "text", "opening"), models)]
     return spark.createDataFrame(rows, "classifier string, labelled bigint, precision double, recall double")
 
 

@@ -156,6 +156,19 @@ def test_handwritten_notices_and_shapes():
     assert handwritten.shaped("x = [" + "0x1234, " * 100 + "]") and not handwritten.shaped("const s = 'some words in a row';\n" * 40) and not handwritten.shaped("")
 
 
+def test_handwritten_openings_learn_notices_and_leave_few_to_the_check():
+    plain = [f"// {w} handling for the {v} project.\nvar a = 1;\n" for w in ("Path", "Token", "Scope", "Generated code", "Row") for v in ("loam", "reed", "fern", "moss", "oak")]
+    marked = [f"// Code generated by {w}{k}. DO NOT EDIT.\nvar a = 1;\n" for w in ("weave", "mill", "press") for k in range(20)]
+    rows = [(f"r{k % 9}", handwritten.opening_features(t), 0) for k, t in enumerate(plain)] + [(f"r{k % 9}", handwritten.opening_features(t), 1) for k, t in enumerate(marked)]
+    model = handwritten.fit_openings(rows)
+    score = lambda t: float(handwritten.opening_features(t) @ model.weights) - model.threshold
+    assert all(score(t) > 0 for t in marked) and sum(score(t) > 0 for t in plain) < len(plain) // 2
+    few = handwritten.fit_openings(rows[:-30])
+    assert float(few.weights.sum()) - few.threshold > 0  # too few notices: all go to the exact check
+    f = handwritten.opening_features(marked[0])
+    assert abs(handwritten._dense(handwritten._sparse(f)) - f).max() < 1e-3
+
+
 def test_handwritten_tables(spark):
     rows = []
     for k in range(240):
