@@ -169,6 +169,17 @@ def test_handwritten_openings_learn_notices_and_leave_few_to_the_check():
     assert abs(handwritten._dense(handwritten._sparse(f)) - f).max() < 1e-3
 
 
+def test_lists_of_names_in_either_order():
+    def read(t):
+        m = personal._LIST.search(t)
+        return [t[a:b] for a, b in personal._listed(m.start(), m[0])] if m else []
+
+    assert read("cc Linnea Grauvwood, Plevovic, Odile\n4.") == ["Linnea Grauvwood", "Plevovic, Odile"]
+    assert read("cc Corvetti, Mirela, Morkvik, Edvard") == ["Corvetti, Mirela", "Morkvik, Edvard"]
+    assert read("cc Zoë C. Quellmann, R. Sand, Thwilley, A.")[:2] == ["Zoë C. Quellmann", "R. Sand"]
+    assert read("Hana Silth, Build team") == [] and read("ask Femke Pleveira, Tuesday") == [] and read("") == []
+
+
 def test_handwritten_tables(spark):
     rows = []
     for k in range(240):
