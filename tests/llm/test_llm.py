@@ -232,6 +232,23 @@ def test_personal_forms():
     assert spans and all(b - a <= personal.LONGEST for a, b in spans) and spans[-1][1] > len(long) - 40
 
 
+def test_personal_windows_hold_all_that_the_check_can_keep():
+    cases = ["Thanks, Anna Keller for it", "Please Anna Keller do", "2024-05-01 555-123-4567", "user7 (415) 555-0100", "see EMP-1234.", "mail a@1host.example now", "Build Anna Keller(", "7 Merge Ann Bexley"]
+    assert all(personal.windows(t) for t in cases)
+    word = st.sampled_from(["Thanks,", "Anna", "Keller", "J.", "2024-05-01", "555-123-4567", "(415) 555-0100", "EMP-1234", "user7", "#", "_", "12 Old-Mill Lane", "Torfgasse 7", "Am", "a.b@x.example", "a at x dot example", "@", "Merge", "Cross", "+49 30 555123", "AB 12 34 56 C", "Calle de la Luna, 4", "Flat 2,"])
+
+    @given(st.lists(st.tuples(word, st.sampled_from([" ", "", "\n", ", "])), max_size=12))
+    @settings(max_examples=300, deadline=None)
+    def held(parts):
+        text = "".join(a + b for a, b in parts)
+        spans = personal.windows(text)
+        kept = [m.span() for k, f in personal.FORMS.items() for m in f.finditer(text)]
+        kept += [m.span() for c in personal._CAPITAL.finditer(text) if (m := personal.NAME.match(text, c.start())) and not set(m[0].replace(",", "").removesuffix("'s").split()) & personal._NO_NAMES]
+        assert all(any(x < b and a < y for x, y in spans) for a, b in kept)
+
+    held()
+
+
 def test_personal_tables(spark):
     given_names, families = ["Petra", "Oskar", "Hana", "Emil"], ["Zarnwood", "Feskley", "Oxtmann", "Corvane"]
     rows = []
