@@ -149,6 +149,17 @@ def test_pairs_drop_templates(spark):
     assert documented.pairs(df.limit(0)).count() == 0
 
 
+def test_templates_do_not_depend_on_copies_or_size(spark):
+    def corpus(size):
+        rows = [(f"/** Walks the rows of part {k} in their order. */\nfunction own{k}() {{ return {k}; }}\n", f"a{k}.js") for k in range(20 * size)]
+        rows += [(f"/** Shared by many of them. */\nfunction same{k}() {{ }}\n", f"b{k}.js") for k in range(5 * size)]
+        return docs(spark, rows + [("/** Copied to many places whole. */\nfunction copied() { return 1; }\n" + " " * (k % 2), f"c{k}.js") for k in range(30)])
+
+    for size in (1, 6):
+        names = [r.method_name for r in documented.pairs(corpus(size)).collect()]
+        assert names.count("copied") == 30 and len(names) == 30 + 20 * size and not any(n.startswith("same") for n in names)
+
+
 def test_handwritten_notices_and_shapes():
     assert handwritten.noticed("// Code generated by x. DO NOT EDIT.\nvar a;") and handwritten.noticed("/*! lib 1.2.3 | licence */\n")
     assert not handwritten.noticed('var s = "// Code generated by x. DO NOT EDIT.";') and not handwritten.noticed("// Kept apart from the generated code on purpose.\n")
