@@ -7,8 +7,9 @@ paths, the shape of texts, and notices. The opening comments are masked before a
 classifier learns bodies, and a path whose file carries a notice under an ordinary name is no example for the first. All
 are fitted on bounded samples; part of the repositories is kept for validation. Every row of every table is then scored
 where it lies: a file is a case if its path, its governing package's path or its body scores above the threshold, or if
-its opening comments do and, by an exact check behind that classifier, carry a notice. Since that check follows, the
-third classifier's threshold is lowered by ``SLACK``.
+its opening comments do and, by an exact check behind that classifier, carry a notice. Opening comments score as their
+best line or as a whole, whichever is more. Since that check follows, the third classifier's threshold is lowered by
+``SLACK``, and below the least score of all rows that carry a notice, so that the check's verdict holds for every row.
 
 Defined cases: paths are written with forward slashes and without leading ``./``; rows without a path are left out;
 null and empty texts are judged by path alone; repeated rows give one row; an empty sample gives classifiers of paths and
@@ -31,13 +32,16 @@ from factloom.session import cut
 
 #: Labelled rows read for fitting at most: paths of both labels, texts and opening comments of each label.
 PATH_SAMPLE, TEXT_SAMPLE, OPENING_SAMPLE = 12_000, 1_500, 500
-#: Notices that must be among the samples for a classifier of opening comments; with fewer, all go to the exact check.
+#: Notices that must be among the samples for a classifier of opening comments; with fewer, all go to the exact check,
+#: which finds the same.
 LEAST_NOTICES = 50
 PATH_BUCKETS, TEXT_BUCKETS = 1 << 20, 1 << 12
 #: Characters of a n-gram, and the share of repositories kept for validation.
 NGRAM, VALIDATION = 4, 0.2
 #: How far below the threshold opening comments still go to the exact check; classes lie 2 apart.
 SLACK = 0.75
+#: How far below the least score of a notice the threshold lies at least, for rounding.
+MARGIN = 1e-3
 #: Path components must occur in so many repositories, so that no single project's names count.
 LEAST_REPOS = 3
 
@@ -127,6 +131,23 @@ def opening_features(text: str) -> np.ndarray:
     return ngrams(opening(text))
 
 
+def notice_features(text: str) -> np.ndarray:
+    """The n-grams of the opening lines that carry the notice, or of all the opening comments if none does."""
+    head = opening(text)
+    m = _NOTICE.search(head)
+    if not m:
+        return opening_features(text)
+    end = head.find("\n", m.end())
+    return ngrams(head[head.rfind("\n", 0, m.start()) + 1 : len(head) if end < 0 else end].strip())
+
+
+def opening_score(text: str, weights: np.ndarray) -> float:
+    """The best score of the opening comments' lines, and of all of them together."""
+    head = opening(text)
+    lines = {x for line in head.split("\n") if (x := line.strip())}
+    return max(float(ngrams(x) @ weights) for x in (head, *lines))
+
+
 @dataclass(frozen=True)
 class Linear:
     """Weights, threshold, and how the validation repositories were judged."""
@@ -219,6 +240,19 @@ def fit_openings(rows: list[tuple[str, np.ndarray, int]]) -> Linear:
     return Linear(fitted.weights, fitted.threshold - SLACK, fitted.report)
 
 
+def admit(docs: DataFrame, model: Linear) -> Linear:
+    """The classifier of opening comments with its threshold below the scores of all rows that carry a notice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [opening_score(t, model.weights) for t in batch.column(0).to_pylist() if noticed(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(scores)] if scores else [], pa.float64())], ["score"])
+
+    rows = docs.where(clean_path(F.col("file_path")).isNotNull() & F.col("text").isNotNull()).select("text")
+    least = rows.mapInArrow(run, "score double").agg(F.min("score").alias("least")).collect()[0].least
+    return model if least is None else Linear(model.weights, min(model.threshold, least - MARGIN), model.report)
+
+
 def _label_texts(docs: DataFrame) -> DataFrame:
     """``(repo, path, label, notice)`` of source files, labelled by shape: 1 for cases, 2 for a notice alone."""
 
@@ -253,7 +287,7 @@ def _features(rows: DataFrame) -> DataFrame:
         for batch in batches:
             text, label, notice = [batch.column(k).to_pylist() for k in (1, 2, 3)]
             body = [None if x is None else _sparse(text_features(t or "")) for t, x in zip(text, label)]
-            head = [None if x is None else _sparse(opening_features(t or "")) for t, x in zip(text, notice)]
+            head = [None if x is None else _sparse(notice_features(t or "")) for t, x in zip(text, notice)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary()), batch.column(2), pa.array(head, pa.binary()), batch.column(3)], ["repo", "body", "label", "head", "notice"])
 
     return rows.mapInArrow(run, "repo string, body binary, label int, head binary, notice int")
@@ -277,7 +311,7 @@ def _smallest(rows: DataFrame, label: int, most: int) -> DataFrame:
 
 def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear, Linear]:
     """The classifiers of paths, bodies and opening comments, fitted on samples bounded by ``PATH_SAMPLE``,
-    ``TEXT_SAMPLE`` and ``OPENING_SAMPLE``.
+    ``TEXT_SAMPLE`` and ``OPENING_SAMPLE``; the last one's threshold by all rows.
 
     The samples are, for each label, the rows with the smallest hashes of their path. ``paths`` is as for ``found``;
     the first part of a path is its repository.
@@ -297,7 +331,7 @@ def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear, Linear
     return (
         fit_paths([(r.repo, r.path, r.label) for r in named]),
         fit_texts([(r.repo, _dense(r.body), r.label) for r in features if r.body is not None]),
-        fit_openings([(r.repo, _dense(r.head), r.notice) for r in features if r.head is not None]),
+        admit(docs, fit_openings([(r.repo, _dense(r.head), r.notice) for r in features if r.head is not None])),
     )
 
 
@@ -330,7 +364,7 @@ def found(docs: DataFrame, paths: list[DataFrame], models: tuple[Linear, Linear,
             for p, t in zip(path, text):
                 if t and float(text_features(t) @ by_text.weights) > by_text.threshold:
                     out.append((p, "text"))
-                if t and float(opening_features(t) @ by_opening.weights) > by_opening.threshold and noticed(t):
+                if t and opening_score(t, by_opening.weights) > by_opening.threshold and noticed(t):
                     out.append((p, "notice"))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["file_path", "reason"])
 

@@ -180,6 +180,19 @@ def test_handwritten_openings_learn_notices_and_leave_few_to_the_check():
     assert abs(handwritten._dense(handwritten._sparse(f)) - f).max() < 1e-3
 
 
+def test_handwritten_notice_below_a_long_licence_is_found(spark):
+    licence = "".join(f"// Permission number {k} is granted to copy, merge and publish this work provided that part {k * 7} of the terms is kept.\n" for k in range(120))
+    body = "\n".join(f"const value{x} = compute(other{x});" for x in range(30))
+    rows = [(f"// Code generated by weave{k}. DO NOT EDIT.\n{body}{k}", f"r{k % 12}/src/app/g{k}.js") for k in range(80)]
+    rows += [(f"{licence}{body}{k}", f"r{k % 12}/src/lib/h{k}.js") for k in range(80)]
+    rows += [(f"{licence}// Do not patch this by hand, please\n{body}", "r1/src/lib/late.js")]
+    df = docs(spark, rows)
+    paths = [df.select(F.col("file_path"), F.col("file_path").alias("judged"))]
+    models = handwritten.fit(df, paths)
+    found = {r.file_path for r in handwritten.found(df, paths, models).where("reason = 'notice'").collect()}
+    assert found == {p for t, p in rows if handwritten.noticed(t)} and "r1/src/lib/late.js" in found
+
+
 def test_lists_of_names_in_either_order():
     def read(t):
         m = personal._LIST.search(t)
