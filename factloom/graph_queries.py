@@ -8,6 +8,7 @@ from factloom.functions import names
 from factloom.operators import closure, joins, lexical, scoring, snapshots, tiers
 from factloom.operators.orphans import clean_id
 from factloom.registry import query
+from factloom.session import cut
 from factloom.sources import bundle
 from factloom.sources.tables import table
 from factloom.streaming import events as streams
@@ -42,8 +43,9 @@ def _next_part(spark: SparkSession, folder: str) -> DataFrame:
 _NEXT = """lines AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem),
  e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 _DEPTH = 4
-_WALK = f"""walk AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT e.dst, w.hops + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.hops < {_DEPTH}),
+_WALK_TO = """walk AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT e.dst, w.hops + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.hops < {0}),
  dist AS (SELECT node, min(hops) AS hops FROM walk GROUP BY node)"""
+_WALK, _PATH = _WALK_TO.format(_DEPTH), _WALK_TO.format(closure.MAX_DEPTH)
 
 
 def _seed(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,11 +280,41 @@ def between_edges(spark, folder):
  SELECT DISTINCT node FROM o WHERE node NOT IN (SELECT node FROM s)""")
 def optimistic_bridge(spark, folder):
     """What only links by name reach."""
-    edges, part = _next_part(spark, folder), table(spark, folder, "part").select("p_partkey", "p_name")
-    a, b = part.alias("a"), part.alias("b")
-    named = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") != F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("src"), F.col("b.p_partkey").alias("dst"))
-    sound, seed = closure.bfs(edges, _seed(spark, folder), 1), _seed(spark, folder)
-    return closure.bfs(closure.clean_edges(edges.unionByName(named)), seed, 1).join(sound.select("node"), "node", "left_anti").select("node").distinct()
+    return _bridge(spark, folder, 1)
+
+
+def _bridge(spark: SparkSession, folder: str, depth: int) -> DataFrame:
+    edges, seed = _next_part(spark, folder), _seed(spark, folder)
+    named = cut(table(spark, folder, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("hub")).where("node IS NOT NULL AND hub IS NOT NULL").distinct(), "names")
+    sound = closure.bfs(edges, seed, depth)
+    return closure.bfs(edges, seed, depth, named).join(sound.select("node"), "node", "left_anti").select("node").distinct()
+
+
+# the same walks over the whole of the reference's depth
+
+
+@query(f"WITH RECURSIVE {_NEXT}, {_PATH} SELECT node, hops FROM dist")
+def path_hops(spark, folder):
+    return closure.bfs(_next_part(spark, folder), _seed(spark, folder), closure.MAX_DEPTH).select("node", "hops")
+
+
+@query(f"WITH RECURSIVE {_NEXT}, {_PATH} SELECT b.node AS node, a.node AS parent, b.hops FROM dist b JOIN e ON e.dst = b.node JOIN dist a ON a.node = e.src AND a.hops = b.hops - 1")
+def path_parents(spark, folder):
+    edges = _next_part(spark, folder)
+    return closure.parents(closure.bfs(edges, _seed(spark, folder), closure.MAX_DEPTH), edges).select("node", "parent", "hops")
+
+
+@query(f"""WITH RECURSIVE {_NEXT}, f AS (SELECT 1::BIGINT AS node, 0 AS h UNION SELECT e.dst, h + 1 FROM f JOIN e ON e.src = f.node WHERE h < {closure.MAX_DEPTH}), g AS (SELECT 2::BIGINT AS node, 0 AS h UNION SELECT e.src, h + 1 FROM g JOIN e ON e.dst = g.node WHERE h < {closure.MAX_DEPTH})
+ SELECT src, dst FROM e WHERE src IN (SELECT node FROM f) AND dst IN (SELECT node FROM g)""")
+def path_between(spark, folder):
+    target = table(spark, folder, "part").where("p_partkey = 2").select(F.lit("a").alias("query"), F.col("p_partkey").alias("node"))
+    return closure.between(_next_part(spark, folder), _seed(spark, folder), target, closure.MAX_DEPTH)
+
+
+@query()
+def path_bridge(spark, folder):
+    """What only links by name reach, at any hop; all pairs of a name are too many for SQL, a fixture holds it."""
+    return _bridge(spark, folder, closure.MAX_DEPTH)
 
 
 _RANK_SQL = "CASE " + " ".join(f"WHEN tier IN ({', '.join(repr(t) for t in v.split())}) THEN {k}" for k, v in tiers.RANKS.items()) + f" ELSE {tiers.UNLISTED} END"

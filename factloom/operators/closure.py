@@ -25,13 +25,24 @@ def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst", *more: str
     return cut(out.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct(), "edges")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(query, node, hops)``: the fewest hops from each query's seeds ``(query, node)`` to each node."""
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, hubs: DataFrame | None = None) -> DataFrame:
+    """``(query, node, hops)``: the fewest hops from each query's seeds ``(query, node)`` to each node.
+
+    ``hubs (node, hub)`` link all nodes of a hub with each other, at one hop. Each hub is opened once, so its pairs are
+    never written out.
+    """
     level = cut(seeds.select("query", "node").where(F.col("node").isNotNull()).distinct().withColumn("hops", F.lit(0)), "bfs")
-    levels = [level]
+    levels, opened = [level], []
     for depth in range(1, max_depth + 1):
         reached = reduce(DataFrame.unionByName, levels)
-        step = level.join(edges, level.node == edges.src).select("query", F.col("dst").alias("node")).distinct()
+        step = level.join(edges, level.node == edges.src).select("query", F.col("dst").alias("node"))
+        if hubs is not None:
+            fresh = level.select("query", "node").join(hubs, "node").select("query", "hub").distinct()
+            if opened:
+                fresh = fresh.join(reduce(DataFrame.unionByName, opened), ["query", "hub"], "left_anti")
+            opened.append(cut(fresh, "hubs"))
+            step = step.unionByName(opened[-1].join(hubs, "hub").select("query", "node"))
+        step = step.distinct()
         level = cut(step.join(reached.select("query", "node"), ["query", "node"], "left_anti").withColumn("hops", F.lit(depth)), "bfs")
         if level.isEmpty():
             break

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from factloom import graph_queries
 from factloom.functions import names
 from factloom.operators import closure, joins, lexical, orphans, rejects, sampling, scoring, snapshots, tiers
 from factloom.sources import bundle
@@ -96,6 +97,24 @@ def test_closure_with_cycles_loops_and_nulls(spark):
     assert {(r.src, r.dst) for r in closure.transitive_closure(edges).collect()} == {(a, b) for a in "abc" for b in "abcd"}
 
 
+def test_walks_go_to_their_end_and_over_names(spark, tmp_path):
+    n = 12
+    lines = [(k, j, k + j) for k in range(1, n) for j in (0, 1)]  # part k to part k + 1
+    spark.createDataFrame(lines + [(90, 1, 20), (90, 2, 21), (91, 1, 40), (91, 2, 41)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    named = [(k, {n: "same", 20: "same", 30: "same", 21: "pair", 31: "pair"}.get(k, f"name {k}")) for k in (*range(1, n + 1), 20, 21, 30, 31, 40, 41)]
+    spark.createDataFrame(named, "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    run = lambda f: {tuple(r) for r in f(spark, str(tmp_path)).collect()}
+    chain = list(range(1, n + 1))
+    assert run(graph_queries.path_hops) == {(k, k - 1) for k in chain}
+    assert run(graph_queries.path_parents) == {(k, k - 1, k - 1) for k in chain[1:]}
+    assert run(graph_queries.path_between) == {(1, 2)}
+    assert run(graph_queries.path_bridge) == {(20,), (30,), (21,), (31,)} and run(graph_queries.optimistic_bridge) == set()
+    edges = closure.clean_edges(spark.createDataFrame([(k, k + 1) for k in chain[:-1]] + [(20, 21), (40, 41)], "src long, dst long"))
+    hubs = spark.createDataFrame(named, "node long, hub string")
+    got = {(r.node, r.hops) for r in closure.bfs(edges, spark.createDataFrame([("a", 1)], "query string, node long"), 40, hubs).collect()}
+    assert got == {(k, k - 1) for k in chain} | {(20, n), (30, n), (21, n + 1), (31, n + 2)}
+
+
 def test_bottleneck_takes_the_better_route(spark):
     edges = closure.clean_edges(spark.createDataFrame([("a", "b", 5), ("a", "c", 1), ("c", "b", 2), ("b", "d", 0)], "src string, dst string, rank int"), "src", "dst", "rank")
     seeds = spark.createDataFrame([("q", "a")], "query string, node string")
