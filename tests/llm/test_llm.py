@@ -273,6 +273,17 @@ def test_personal_windows_hold_all_that_the_check_can_keep():
     held()
 
 
+def test_personal_names_are_snapped_to_what_was_decoded():
+    def snap(text, said):
+        a = text.index(said)
+        return [text[x:y] for x, y in personal._exact("person_name", a, a + len(said), text)]
+
+    for name in ("Emma Cross", "Bryan Ferry", "Fiona O'Brien", "Gino D’Angelo", "Łukasz Żak", "Slavoj Žižek", "Ludwig van Beethoven", "Иван Петров"):
+        text = f"As said, reported by {name}'s team (see below)."
+        assert snap(text, name) == [name] and any(a <= text.index(name) and text.index(name) + len(name) <= b for a, b in personal.windows(text))
+    assert snap("Bitte K. Plevmann fragen", "K. Plevmann") == ["K. Plevmann"] and snap("Kenji H. Feskovic saw", "H. Feskovic") == ["Kenji H. Feskovic"]
+
+
 def test_personal_tables(spark):
     given_names, families = ["Petra", "Oskar", "Hana", "Emil"], ["Zarnwood", "Feskley", "Oxtmann", "Corvane"]
     rows = []
