@@ -11,12 +11,16 @@ give the seeds alone or nothing.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.session import cut
 
+#: Hops of the reference's path queries, which pass it on; reachability has no bound and ends with the frontier.
 MAX_DEPTH = 40
+#: Levels read one by one; more are written together again, so that plans stay small on long chains.
+MOST_LEVELS = 24
 
 
 def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst", *more: str) -> DataFrame:
@@ -25,28 +29,35 @@ def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst", *more: str
     return cut(out.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct(), "edges")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, hubs: DataFrame | None = None) -> DataFrame:
-    """``(query, node, hops)``: the fewest hops from each query's seeds ``(query, node)`` to each node.
+def _few(levels: list[DataFrame], name: str) -> list[DataFrame]:
+    """The levels, as one if they have become many."""
+    return levels if len(levels) < MOST_LEVELS else [cut(reduce(DataFrame.unionByName, levels), name)]
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, hubs: DataFrame | None = None) -> DataFrame:
+    """``(query, node, hops)``: the fewest hops from each query's seeds ``(query, node)`` to each node, all that are
+    reached unless ``max_depth`` is given.
 
     ``hubs (node, hub)`` link all nodes of a hub with each other, at one hop. Each hub is opened once, so its pairs are
     never written out.
     """
     level = cut(seeds.select("query", "node").where(F.col("node").isNotNull()).distinct().withColumn("hops", F.lit(0)), "bfs")
     levels, opened = [level], []
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = reduce(DataFrame.unionByName, levels)
         step = level.join(edges, level.node == edges.src).select("query", F.col("dst").alias("node"))
         if hubs is not None:
             fresh = level.select("query", "node").join(hubs, "node").select("query", "hub").distinct()
             if opened:
                 fresh = fresh.join(reduce(DataFrame.unionByName, opened), ["query", "hub"], "left_anti")
-            opened.append(cut(fresh, "hubs"))
-            step = step.unionByName(opened[-1].join(hubs, "hub").select("query", "node"))
+            fresh = cut(fresh, "hubs")
+            opened = _few([*opened, fresh], "hubs")
+            step = step.unionByName(fresh.join(hubs, "hub").select("query", "node"))
         step = step.distinct()
         level = cut(step.join(reached.select("query", "node"), ["query", "node"], "left_anti").withColumn("hops", F.lit(depth)), "bfs")
         if level.isEmpty():
             break
-        levels.append(level)
+        levels = _few([*levels, level], "bfs")
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -63,17 +74,17 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The edges on any walk from the sources to the targets: reached forwards and backwards."""
     down = bfs(edges, sources, max_depth).select(F.col("node").alias("src")).distinct()
     up = bfs(reverse(edges), targets, max_depth).select(F.col("node").alias("dst")).distinct()
     return edges.join(down, "src", "left_semi").join(up, "dst", "left_semi").select("src", "dst")
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = MAX_DEPTH) -> DataFrame:
+def transitive_closure(edges: DataFrame) -> DataFrame:
     """All pairs ``(src, dst)`` connected by a walk, by doubling: for hierarchies, whose closure stays small."""
     known = fresh = edges.select("src", "dst")
-    for _ in range(max_rounds):
+    while True:
         a, b = fresh.alias("a"), known.alias("b")
         longer = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
         fresh = cut(longer.distinct().join(known, ["src", "dst"], "left_anti"), "closure")
@@ -83,7 +94,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int = MAX_DEPTH) -> DataFra
     return known
 
 
-def bottleneck(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_DEPTH) -> DataFrame:
+def bottleneck(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(query, node, worst)``: the least possible worst rank of an edge on a walk to each node; seeds have -1.
 
     ``edges`` carry ``rank``. Each round takes the nodes that became better a step further and keeps, for each node
@@ -91,12 +102,12 @@ def bottleneck(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_DEPTH)
     """
     level = cut(seeds.select("query", "node").where(F.col("node").isNotNull()).distinct().withColumn("worst", F.lit(-1)), "bottleneck")
     levels = [level]
-    for _ in range(max_rounds):
+    while True:
         known = reduce(DataFrame.unionByName, levels).groupBy("query", "node").agg(F.min("worst").alias("known"))
         step = level.join(edges, level.node == edges.src).select("query", F.col("dst").alias("node"), F.greatest("worst", F.col("rank").cast("int")).alias("worst"))
         best = step.groupBy("query", "node").agg(F.min("worst").alias("worst")).join(known, ["query", "node"], "left")
         level = cut(best.where("known IS NULL OR worst < known").select("query", "node", "worst"), "bottleneck")
         if level.isEmpty():
             break
-        levels.append(level)
+        levels = _few([*levels, level], "bottleneck")
     return reduce(DataFrame.unionByName, levels).groupBy("query", "node").agg(F.min("worst").alias("worst"))

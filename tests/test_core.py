@@ -115,6 +115,13 @@ def test_walks_go_to_their_end_and_over_names(spark, tmp_path):
     assert got == {(k, k - 1) for k in chain} | {(20, n), (30, n), (21, n + 1), (31, n + 2)}
 
 
+def test_reachability_goes_beyond_forty_hops(spark):
+    edges = closure.clean_edges(spark.createDataFrame([(k, k + 1, 1) for k in range(43)] + [(0, 43, 3)], "src long, dst long, rank int"), "src", "dst", "rank").coalesce(1)
+    seeds = spark.createDataFrame([("a", 0)], "query string, node long")
+    assert {r.node for r in closure.bfs(edges.where("rank = 1"), seeds).collect()} == set(range(44))
+    assert {(r.node, r.worst) for r in closure.bottleneck(edges, seeds).where("node > 40").collect()} == {(41, 1), (42, 1), (43, 1)}
+
+
 def test_bottleneck_takes_the_better_route(spark):
     edges = closure.clean_edges(spark.createDataFrame([("a", "b", 5), ("a", "c", 1), ("c", "b", 2), ("b", "d", 0)], "src string, dst string, rank int"), "src", "dst", "rank")
     seeds = spark.createDataFrame([("q", "a")], "query string, node string")
