@@ -15,12 +15,10 @@ from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.session import cut
+from factloom.session import Written, cut, drop, written
 
 #: Hops of the reference's path queries, which pass it on; reachability has no bound and ends with the frontier.
 MAX_DEPTH = 40
-#: Levels read one by one; more are written together again, so that plans stay small on long chains.
-MOST_LEVELS = 24
 
 
 def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst", *more: str) -> DataFrame:
@@ -29,9 +27,37 @@ def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst", *more: str
     return cut(out.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct(), "edges")
 
 
-def _few(levels: list[DataFrame], name: str) -> list[DataFrame]:
-    """The levels, as one if they have become many."""
-    return levels if len(levels) < MOST_LEVELS else [cut(reduce(DataFrame.unionByName, levels), name)]
+class _Levels:
+    """What was reached so far, in tables of which each holds at least twice as many rows as the next.
+
+    A new level is written together with the smaller tables before it, and those are deleted, so that there are few
+    tables however many levels, and a row is written again only as often as the whole doubles.
+    """
+
+    def __init__(self, name: str) -> None:
+        self.name, self.tables = name, []
+
+    def add(self, level: Written) -> None:
+        small: list[Written] = []
+        rows = level.rows
+        while self.tables and self.tables[-1].rows < 2 * rows:
+            small.append(self.tables.pop())
+            rows += small[-1].rows
+        if small:
+            self.tables.append(written(reduce(DataFrame.unionByName, [t.frame for t in [*small, level]]), self.name))
+            drop(*small)
+        else:
+            self.tables.append(level)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.frame for t in self.tables])
+
+    def holds(self, table: Written) -> bool:
+        return any(t is table for t in self.tables)
+
+
+def _seeds(seeds: DataFrame) -> DataFrame:
+    return seeds.select("query", "node").where(F.col("node").isNotNull()).distinct()
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, hubs: DataFrame | None = None) -> DataFrame:
@@ -41,24 +67,31 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, hubs:
     ``hubs (node, hub)`` link all nodes of a hub with each other, at one hop. Each hub is opened once, so its pairs are
     never written out.
     """
-    level = cut(seeds.select("query", "node").where(F.col("node").isNotNull()).distinct().withColumn("hops", F.lit(0)), "bfs")
-    levels, opened = [level], []
+    level = written(_seeds(seeds).withColumn("hops", F.lit(0)), "bfs")
+    levels, opened = _Levels("bfs"), _Levels("hubs")
+    levels.add(level)
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        reached = reduce(DataFrame.unionByName, levels)
-        step = level.join(edges, level.node == edges.src).select("query", F.col("dst").alias("node"))
+        reached, now = levels.all().select("query", "node"), level.frame
+        step = now.join(edges, now.node == edges.src).select("query", F.col("dst").alias("node"))
+        if hubs is not None:
+            fresh = now.select("query", "node").join(hubs, "node").select("query", "hub").distinct()
+            if opened.tables:
+                fresh = fresh.join(opened.all(), ["query", "hub"], "left_anti")
+            new = written(fresh, "hubs")
+            step = step.unionByName(new.frame.join(hubs, "hub").select("query", "node"))
+        old = level
+        level = written(step.distinct().join(reached, ["query", "node"], "left_anti").withColumn("hops", F.lit(depth)), "bfs")
+        if not levels.holds(old):
+            drop(old)
         if hubs is not None:
-            fresh = level.select("query", "node").join(hubs, "node").select("query", "hub").distinct()
-            if opened:
-                fresh = fresh.join(reduce(DataFrame.unionByName, opened), ["query", "hub"], "left_anti")
-            fresh = cut(fresh, "hubs")
-            opened = _few([*opened, fresh], "hubs")
-            step = step.unionByName(fresh.join(hubs, "hub").select("query", "node"))
-        step = step.distinct()
-        level = cut(step.join(reached.select("query", "node"), ["query", "node"], "left_anti").withColumn("hops", F.lit(depth)), "bfs")
-        if level.isEmpty():
+            opened.add(new)
+            if not opened.holds(new):
+                drop(new)
+        if not level.rows:
+            drop(level)
             break
-        levels = _few([*levels, level], "bfs")
-    return reduce(DataFrame.unionByName, levels)
+        levels.add(level)
+    return levels.all()
 
 
 def parents(levels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,31 +116,35 @@ def between(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth:
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """All pairs ``(src, dst)`` connected by a walk, by doubling: for hierarchies, whose closure stays small."""
-    known = fresh = edges.select("src", "dst")
+    known = fresh = written(edges.select("src", "dst"), "closure")
     while True:
-        a, b = fresh.alias("a"), known.alias("b")
+        a, b = fresh.frame.alias("a"), known.frame.alias("b")
         longer = a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        fresh = cut(longer.distinct().join(known, ["src", "dst"], "left_anti"), "closure")
-        if fresh.isEmpty():
-            break
-        known = cut(known.unionByName(fresh), "closure")
-    return known
+        last, fresh = fresh, written(longer.distinct().join(known.frame, ["src", "dst"], "left_anti"), "closure")
+        if last is not known:
+            drop(last)
+        if not fresh.rows:
+            drop(fresh)
+            return known.frame
+        last, known = known, written(known.frame.unionByName(fresh.frame), "closure")
+        drop(last)
 
 
 def bottleneck(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(query, node, worst)``: the least possible worst rank of an edge on a walk to each node; seeds have -1.
 
     ``edges`` carry ``rank``. Each round takes the nodes that became better a step further and keeps, for each node
-    reached, the least rank if it betters the one known. Ranks only fall, so cycles end.
+    reached, the least rank unless one as low is known. Ranks only fall, so cycles end.
     """
-    level = cut(seeds.select("query", "node").where(F.col("node").isNotNull()).distinct().withColumn("worst", F.lit(-1)), "bottleneck")
-    levels = [level]
-    while True:
-        known = reduce(DataFrame.unionByName, levels).groupBy("query", "node").agg(F.min("worst").alias("known"))
-        step = level.join(edges, level.node == edges.src).select("query", F.col("dst").alias("node"), F.greatest("worst", F.col("rank").cast("int")).alias("worst"))
-        best = step.groupBy("query", "node").agg(F.min("worst").alias("worst")).join(known, ["query", "node"], "left")
-        level = cut(best.where("known IS NULL OR worst < known").select("query", "node", "worst"), "bottleneck")
-        if level.isEmpty():
-            break
-        levels = _few([*levels, level], "bottleneck")
-    return reduce(DataFrame.unionByName, levels).groupBy("query", "node").agg(F.min("worst").alias("worst"))
+    level = written(_seeds(seeds).withColumn("worst", F.lit(-1)), "bottleneck")
+    levels = _Levels("bottleneck")
+    while level.rows:
+        levels.add(level)
+        now, known = level.frame, levels.all().select(F.col("query").alias("_q"), F.col("node").alias("_n"), F.col("worst").alias("_w"))
+        step = now.join(edges, now.node == edges.src).select("query", F.col("dst").alias("node"), F.greatest("worst", F.col("rank").cast("int")).alias("worst"))
+        best = step.groupBy("query", "node").agg(F.min("worst").alias("worst"))
+        old, level = level, written(best.join(known, F.expr("query = _q AND node = _n AND _w <= worst"), "left_anti"), "bottleneck")
+        if not levels.holds(old):
+            drop(old)
+    levels.add(level)
+    return levels.all().groupBy("query", "node").agg(F.min("worst").alias("worst"))

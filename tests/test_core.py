@@ -261,3 +261,34 @@ def test_last_before_and_name_functions(spark):
     df = spark.createDataFrame([("a.b_C.d", 'x /* a\n"b" */ y // z\n"s//" w'), ("", ""), (None, None)], "n string, code string")
     out = df.select(names.positions(F.col("n"), ".").alias("p"), names.prefixes(F.col("n"), 2).alias("x"), names.relaxed(F.col("n")).alias("r"), names.without_comments(F.col("code")).alias("c")).collect()
     assert out[0] == ([1, 5], ["a", "a.b_C"], "abcd", "x   y  \n  w") and out[1] == ([], [""], "", "") and list(out[2]) == [None] * 4
+
+
+def test_shared_folder_is_named_or_local(spark, monkeypatch):
+    from types import SimpleNamespace as Some
+
+    from factloom import session
+
+    def asked(master, named=None):
+        return Some(conf=Some(get=lambda key, other: named), sparkContext=Some(master=master))
+
+    assert session.shared_dir(asked("spark://host:7077", "hdfs://n/shared/")) == "hdfs://n/shared"
+    assert session.shared_dir(asked("local[4]")).startswith("file:")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_dir(asked(master))
+
+
+def test_intermediate_tables_go_away(spark):
+    from factloom import session
+
+    session.clean(spark)
+    edges = closure.clean_edges(spark.createDataFrame([(k, k + 1) for k in range(9)], "src long, dst long"))
+    seeds = spark.createDataFrame([("a", 0)], "query string, node long")
+    assert closure.bfs(edges, seeds).count() == 10
+    left = session._paths(spark)
+    assert len(left) <= 5 and all(os.path.exists(p.removeprefix("file://")) for p in left)  # edges, and what bfs returned
+    assert session.clean(spark) == len(left) and not any(os.path.exists(p.removeprefix("file://")) for p in left)
+    table = session.written(edges.limit(0).sparkSession.range(3).toDF("k"), "t")
+    assert table.rows == 3 and table.frame.count() == 3
+    session.drop(table)
+    assert not os.path.exists(table.path.removeprefix("file://"))
