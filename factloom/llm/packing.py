@@ -4,7 +4,8 @@ Only the number of items of each size reaches the driver, at most capacity + 1 r
 are. On these counts the plan is made: items above a third of the capacity go at most two to a window, the largest
 with the largest that still fits; then the smaller ones, largest first, into the tightest gap that takes them. The
 plan says which ranks of which size go into which windows, and Spark assigns the documents by their rank among those
-of equal size, counted in salted parts so that a size shared by many documents is never in one task.
+of equal size. They are ranked in parts of about ``PART`` documents, of which a size has as many as its count asks for,
+so a size that a third of all documents share, as do the full pieces of large ones, is spread over as many tasks.
 
 Defined cases: a document larger than the capacity is cut into pieces of the capacity and a rest; one of size 0
 takes a window but no room, spread evenly; a null size counts as 0; equal sizes are ranked by salt and id, so the
@@ -13,18 +14,52 @@ result is the same for the same rows; no documents give no rows.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterable
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from factloom.session import cut
-
-#: Parts in which the documents of one size are ranked.
-SALTS = 64
+#: Documents of one size that are ranked together, about.
+PART = 50_000
 PLAN_SCHEMA = "window_id string, size bigint, rank_lo bigint, rank_hi bigint, window_lo bigint, per_window bigint"
 
 
+class _Gaps:
+    """Windows by the room left in them; the tightest that takes an item is found by bits, in blocks of 512 sizes."""
+
+    def __init__(self, capacity: int) -> None:
+        self.windows: dict[int, list[tuple[int, int]]] = {}
+        self.words, self.top = [0] * ((capacity >> 9) + 1), 0
+
+    def free(self, gap: int, window: int, many: int) -> None:
+        if gap and many:
+            if gap not in self.windows:
+                self.windows[gap] = []
+                self.words[gap >> 9] |= 1 << (gap & 511)
+                self.top |= 1 << (gap >> 9)
+            self.windows[gap].append((window, many))
+
+    def tightest(self, size: int) -> int:
+        """The least room that takes the size, 0 if there is none."""
+        block = size >> 9
+        word = self.words[block] >> (size & 511) << (size & 511)
+        if not word:
+            above = self.top >> (block + 1)
+            if not above:
+                return 0
+            block += (above & -above).bit_length()
+            word = self.words[block]
+        return (block << 9) + (word & -word).bit_length() - 1
+
+    def take(self, gap: int) -> tuple[int, int]:
+        out = self.windows[gap].pop()
+        if not self.windows[gap]:
+            del self.windows[gap]
+            self.words[gap >> 9] &= ~(1 << (gap & 511))
+            if not self.words[gap >> 9]:
+                self.top &= ~(1 << (gap >> 9))
+        return out
+
+
 def plan_windows(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Rows ``(size, rank_lo, rank_hi, window_lo, per_window)`` and the number of windows.
 
@@ -33,71 +68,64 @@ def plan_windows(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     plan: list[tuple[int, int, int, int, int]] = []
     left = {s: n for s, n in counts.items() if n > 0 and s > 0}
     done = dict.fromkeys(counts, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
+    gaps = _Gaps(capacity)
     windows = 0
 
     def put(size: int, items: int, window: int, per: int) -> None:
         plan.append((size, done[size], done[size] + items, window, per))
         done[size] += items
 
-    def free(gap: int, window: int, many: int) -> None:
-        if gap and many:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((window, many))
-
     large = sorted(s for s in left if 3 * s > capacity)
-    while large:
-        a = large[-1]
-        k = bisect_right(large, capacity - a) - 1
+    lower = list(range(len(large)))  # of each place, a place at or below it nearer to one with items left
+
+    def down(k: int) -> int:
+        """The last place up to k whose size has items left, or -1."""
+        way = []
+        while k >= 0 and not left[large[k]]:
+            way.append(k)
+            k = lower[k] if lower[k] < k else k - 1
+        for x in way:
+            lower[x] = k
+        return k
+
+    at = down(len(large) - 1)
+    while at >= 0:
+        a = large[at]
+        k = down(min(at, bisect_right(large, capacity - a) - 1))
+        if k == at and left[a] == 1:  # one item is left of a size that pairs with itself
+            k = down(at - 1)
         if k < 0:
-            put(a, n := left[a], windows, 1)
-            free(capacity - a, windows, n)
-            windows += n
-            large.pop()
-            continue
-        b = large[k]
-        n = left[a] // 2 if a == b else min(left[a], left[b])
-        if n == 0:  # one item is left of a size that pairs with itself
-            if k:
-                b, n = large[k - 1], 1
-            else:
-                put(a, 1, windows, 1)
-                free(capacity - a, windows, 1)
-                windows += 1
-                large.pop()
-                continue
-        put(a, n, windows, 1)
-        put(b, n, windows, 1)
-        free(capacity - a - b, windows, n)
-        windows += n
+            n = left[a]
+            put(a, n, windows, 1)
+            gaps.free(capacity - a, windows, n)
+        else:
+            b = large[k]
+            n = left[a] // 2 if a == b else min(left[a], left[b])
+            put(a, n, windows, 1)
+            put(b, n, windows, 1)
+            gaps.free(capacity - a - b, windows, n)
+            left[b] -= n
         left[a] -= n
-        left[b] -= n
-        large = [s for s in large if left[s]] if not left[a] or not left[b] else large
+        windows += n
+        at = down(at)
     for s in sorted((s for s in left if 3 * s <= capacity), reverse=True):
         n = left[s]
         while n:
-            k = bisect_left(order, s)
-            if k == len(order):
+            gap = gaps.tightest(s)
+            if not gap:
                 per = min(capacity // s, n)
                 full = n // per
                 put(s, full * per, windows, per)
-                free(capacity - per * s, windows, full)
+                gaps.free(capacity - per * s, windows, full)
                 windows += full
                 n -= full * per
                 continue
-            gap = order[k]
-            window, many = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-                order.pop(k)
+            window, many = gaps.take(gap)
             per = min(gap // s, n)
             full = min(many, n // per)
             put(s, full * per, window, per)
-            free(gap, window + full, many - full)
-            free(gap - per * s, window, full)
+            gaps.free(gap, window + full, many - full)
+            gaps.free(gap - per * s, window, full)
             n -= full * per
     if n := counts.get(0, 0):
         windows = max(windows, 1)
@@ -117,27 +145,27 @@ def _pieces(sizes: DataFrame, capacities: dict[str, int], id_col: str, size_col:
     )
 
 
-def pack(sizes: DataFrame, capacities: dict[str, int], id_col: str = "doc_id", size_col: str = "n_tokens", salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, capacities: dict[str, int], id_col: str = "doc_id", size_col: str = "n_tokens", part: int = PART) -> DataFrame:
     """``(window_id, doc_id, piece, start_token, n_tokens, window_no)`` for every piece of every document.
 
-    ``capacities`` is a small, fixed map of window kind to capacity. ``sizes`` is read twice, so pass a table that
+    ``capacities`` is a small, fixed map of window kind to capacity. ``sizes`` is read three times, so pass a table that
     was written, see ``factloom.session.cut``.
     """
     spark = sizes.sparkSession
     if bad := {w: c for w, c in capacities.items() if not c or c < 1}:
         raise ValueError(f"capacities must be positive: {bad}")
-    pieces = _pieces(sizes, capacities, id_col, size_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    parts = pieces.groupBy("window_id", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
-    parts = cut(parts, "packing-parts")  # at most capacity + 1 sizes times the salts
-    rows: Iterable = parts.groupBy("window_id", "size").agg(F.sum("n").alias("n")).collect()
+    by = ["window_id", "size"]
+    pieces = _pieces(sizes, capacities, id_col, size_col)
+    rows = pieces.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity + 1 sizes of a window kind
     plan = []
     for w, capacity in capacities.items():
         made, _ = plan_windows({r.size: r.n for r in rows if r.window_id == w}, capacity)
         plan += [(w, *x) for x in made]
-    by = ["window_id", "size"]
-    before = F.sum("n").over(W.partitionBy(*by).orderBy("salt")) - F.col("n")
-    offsets = parts.select(*by, "salt", before.alias("before"))
-    ranked = pieces.withColumn("nth", F.row_number().over(W.partitionBy(*by, "salt").orderBy("doc_id", "piece")) - 1)
+    shared = F.broadcast(spark.createDataFrame([(r.window_id, r.size, -(-r.n // part)) for r in rows if r.n > part], "window_id string, size bigint, parts bigint"))
+    salted = pieces.join(shared, by, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    counts = salted.groupBy(*by, "salt").agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(*by, "salt", (F.sum("n").over(W.partitionBy(*by).orderBy("salt")) - F.col("n")).alias("before"))
+    ranked = salted.withColumn("nth", F.row_number().over(W.partitionBy(*by, "salt").orderBy("doc_id", "piece")) - 1)
     # both sides are partitioned by size and salt, so this join moves the offsets only
     ranked = ranked.join(offsets.hint("merge"), [*by, "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
     where = F.broadcast(spark.createDataFrame(plan, PLAN_SCHEMA))

@@ -76,6 +76,21 @@ def test_pack_tables(spark):
     assert packing.report(same, {"w": 10}).first().windows == 250
 
 
+def test_plan_of_a_wide_capacity_is_quick_and_hot_sizes_are_parted(spark):
+    import random
+    import time
+
+    r = random.Random(3)
+    counts = {s: r.randint(1, 40) for s in range(1, 131_073)} | {131_072: 9_000_000, 0: 5_000_000}
+    began = time.process_time()
+    plan, windows = packing.plan_windows(counts, 131_072)
+    assert time.process_time() - began < 8 and len(plan) < 600_000
+    assert sum(hi - lo for _, lo, hi, *_ in plan) == sum(counts.values()) and windows >= sum(s * n for s, n in counts.items()) / 131_072
+    # equal sizes, ranked in a hundred parts
+    same = packing.pack(spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(7).alias("n_tokens")), {"w": 10}, part=1_000)
+    assert same.select("window_no").distinct().count() == 100_000
+
+
 GOOD = {
     "a.js": "import x from './y.js';\nexport const f = async (a, {b, c} = {}) => `t ${a.b ? `n ${c}` : 'd'}`\nlet r = /[/'\"]+/g, q = a / 2 / b\nclass A { static #p = 1; get v() { return this.#p } }\nfor (const k of r) { if (k) continue; else break }\n",
     "b.ts": "export interface E<T> { readonly a?: T; m(k: string): void }\nabstract class C<T> extends B<T> implements E<T> { constructor(private x: number) { super() } abstract go(): void; }\nconst v = x as unknown as Map<string, number[]>;\n",
