@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -58,8 +59,6 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.report(*_packed(spark, folder))
 
 
-
-
 @query
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Source files that do not parse."""
@@ -127,10 +126,13 @@ _TAGGERS: dict[str, tagger.Tagger] = {}
 
 
 def _tagger(spark: SparkSession, folder: str) -> tagger.Tagger:
-    """The tagger trained on a bounded sample of a folder's documents; kept for the folder's other queries."""
-    if folder not in _TAGGERS:
-        _TAGGERS[folder] = personal.train(personal.sample_windows(table(spark, folder, "documents")))
-    return _TAGGERS[folder]
+    """The tagger trained on a bounded sample of a folder's documents; kept for other queries with the same sample."""
+    sample = personal.sample_windows(table(spark, folder, "documents"))
+    key = hashlib.sha256("\0".join(sample).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[key] = personal.train(sample)
+    return _TAGGERS[key]
 
 
 @query
@@ -147,8 +149,9 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p8_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions and documents with mentions, per source and type."""
+    """Mentions, those whose decoded span was put on other limits, and documents with mentions, per source and type."""
     docs = table(spark, folder, "documents")
-    found = personal.mentions(docs, _tagger(spark, folder)).dropDuplicates(["doc_id", "pii_type", "start_char"]).groupBy("doc_id", "pii_type").count()
-    joined = found.join(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
-    return joined.groupBy("source", "pii_type").agg(F.sum("count").alias("mentions"), F.count(F.lit(1)).alias("docs"))
+    found = personal.mentions(docs, _tagger(spark, folder)).dropDuplicates(["doc_id", "pii_type", "start_char"])
+    per = found.groupBy("doc_id", "pii_type").agg(F.count(F.lit(1)).alias("mentions"), F.count_if("snapped").alias("snapped"))
+    joined = per.join(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    return joined.groupBy("source", "pii_type").agg(F.sum("mentions").alias("mentions"), F.sum("snapped").alias("snapped"), F.count(F.lit(1)).alias("docs"))

@@ -208,17 +208,6 @@ def test_handwritten_notice_below_a_long_licence_is_found(spark):
     assert found == {p for t, p in rows if handwritten.noticed(t)} and "r1/src/lib/late.js" in found
 
 
-def test_lists_of_names_in_either_order():
-    def read(t):
-        m = personal._LIST.search(t)
-        return [t[a:b] for a, b in personal._listed(m.start(), m[0])] if m else []
-
-    assert read("cc Linnea Grauvwood, Plevovic, Odile\n4.") == ["Linnea Grauvwood", "Plevovic, Odile"]
-    assert read("cc Corvetti, Mirela, Morkvik, Edvard") == ["Corvetti, Mirela", "Morkvik, Edvard"]
-    assert read("cc Zoë C. Quellmann, R. Sand, Thwilley, A.")[:2] == ["Zoë C. Quellmann", "R. Sand"]
-    assert read("Hana Silth, Build team") == [] and read("ask Femke Pleveira, Tuesday") == [] and read("") == []
-
-
 def test_handwritten_tables(spark):
     rows = []
     for k in range(240):
@@ -271,40 +260,56 @@ def test_personal_forms():
     assert spans and all(b - a <= personal.LONGEST for a, b in spans) and spans[-1][1] > len(long) - 40
 
 
-def test_personal_windows_hold_all_that_the_check_can_keep():
-    cases = ["Thanks, Anna Keller for it", "Please Anna Keller do", "2024-05-01 555-123-4567", "user7 (415) 555-0100", "see EMP-1234.", "mail a@1host.example now", "Build Anna Keller(", "7 Merge Ann Bexley"]
+def test_personal_windows_lie_around_whatever_looks_like_a_mention():
+    cases = ["Thanks, Anna Keller for it", "Please Anna Keller do", "2024-05-01 555-123-4567", "see EMP-1234.", "mail a@1host.example now", "7 Merge Ann Bexley", "by Łukasz Żak", "of Ludwig van Beethoven", "Иван Петров"]
     assert all(personal.windows(t) for t in cases)
-    word = st.sampled_from(["Thanks,", "Anna", "Keller", "J.", "2024-05-01", "555-123-4567", "(415) 555-0100", "EMP-1234", "user7", "#", "_", "12 Old-Mill Lane", "Torfgasse 7", "Am", "a.b@x.example", "a at x dot example", "@", "Merge", "Cross", "+49 30 555123", "AB 12 34 56 C", "Calle de la Luna, 4", "Flat 2,"])
+    assert not personal.windows("plain words, 12 of them and List<String> f(int a) on 2024-05-01") and not personal.windows("")
+    word = st.sampled_from(["Thanks,", "Anna", "Keller", "J.", "2024-05-01", "555-123-4567", "(415) 555-0100", "EMP-1234", "12 Old-Mill Lane", "Torfgasse 7", "Am", "a.b@x.example", "a at x dot example", "Merge", "Cross", "+49 30 555123", "AB 12 34 56 C", "Calle de la Luna, 4", "Flat 2,"])
 
-    @given(st.lists(st.tuples(word, st.sampled_from([" ", "", "\n", ", "])), max_size=12))
-    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.tuples(word, st.sampled_from([" ", "\n", ", "])), max_size=12))
+    @settings(max_examples=200, deadline=None)
     def held(parts):
         text = "".join(a + b for a, b in parts)
         spans = personal.windows(text)
-        kept = [m.span() for k, f in personal.FORMS.items() for m in f.finditer(text)]
-        kept += [m.span() for c in personal._CAPITAL.finditer(text) if (m := personal.NAME.match(text, c.start())) and not set(m[0].replace(",", "").removesuffix("'s").split()) & personal._NO_NAMES]
+        kept = [m.span() for f in (*personal.FORMS.values(), personal.NAME) for m in f.finditer(text) if "\n" not in m[0]]
         assert all(any(x < b and a < y for x, y in spans) for a, b in kept)
 
     held()
 
 
-def test_personal_names_are_snapped_to_what_was_decoded():
-    def snap(text, said):
+def test_personal_spans_are_snapped_to_what_was_decoded():
+    def snap(text, said, kind="person_name"):
         a = text.index(said)
-        return [text[x:y] for x, y in personal._exact("person_name", a, a + len(said), text)]
+        return [text[x:y] for x, y in personal.snap(kind, a, a + len(said), text)]
 
     for name in ("Emma Cross", "Bryan Ferry", "Fiona O'Brien", "Gino D’Angelo", "Łukasz Żak", "Slavoj Žižek", "Ludwig van Beethoven", "Иван Петров"):
         text = f"As said, reported by {name}'s team (see below)."
         assert snap(text, name) == [name] and any(a <= text.index(name) and text.index(name) + len(name) <= b for a, b in personal.windows(text))
-    assert snap("Bitte K. Plevmann fragen", "K. Plevmann") == ["K. Plevmann"] and snap("Kenji H. Feskovic saw", "H. Feskovic") == ["Kenji H. Feskovic"]
+    assert snap("Bitte K. Plevmann fragen", "K. Plevmann") == ["K. Plevmann"] and snap("Kenji H. Feskovic saw", "enji H. Feskovic ") == ["Kenji H. Feskovic"]
+    assert snap("cc Linnea Grauvwood, Plevovic, Odile", "Linnea Grauvwood, Plevovic, Odile") == ["Linnea Grauvwood", "Plevovic, Odile"]
+    assert snap("cc Morkvik, Edvard, R. Sand", "Morkvik, Edvard, R. Sand") == ["Morkvik, Edvard", "R. Sand"] and snap("cc Plevovic, Odile", "Plevovic, Odile") == ["Plevovic, Odile"]
+    assert snap("call `compareDigest`", "compareDigest") == [] and snap("x 12", "12", "phone") == [] and snap("at 1 2", "1 2", "id_number") == []
+    assert snap("Tel. +1 (555) 555-0123, ask", "1 (555) 555-01", "phone") == ["+1 (555) 555-0123"] and snap("Tel. 12 34 56 78 90 x", "12 34 56 78 90", "phone") == ["12 34 56 78 90"]
+
+
+def test_personal_lexicon_and_labels_come_from_where_words_stand():
+    texts = [f"{g} {f} saw it. Bitte {g} {f} fragen. We keep the Graph Store. {f}, {g[0]}. did" for g in ("Petra", "Oskar", "Hana", "Emil") for f in ("Zarnwood", "Feskley", "Oxtmann", "Corvane")]
+    given_names, family = personal.names_of(texts)
+    assert given_names == {"Petra", "Oskar", "Hana", "Emil"} and family == {"Zarnwood", "Feskley", "Oxtmann", "Corvane"}
+    text = "Bitte Petra Corvane fragen, cc Feskley, Hana, J. Oxtmann; Graph Store"
+    found = personal.label(text, (given_names, family))
+    assert [text[a:b] for a, b, _ in found] == ["Petra Corvane", "Feskley, Hana", "J. Oxtmann"]
+    other, moved = personal.other_names(text, found, ["Store"], np.random.default_rng(1))
+    assert len(moved) == 3 and all("Store" in other[a:b] for a, b, _ in moved) and other.endswith("; Graph Store")
+    assert personal.names_of([]) == (set(), set()) and personal.other_names("x", [], ["Store"], np.random.default_rng(1)) == ("x", [])
 
 
 def test_personal_tables(spark):
     given_names, families = ["Petra", "Oskar", "Hana", "Emil"], ["Zarnwood", "Feskley", "Oxtmann", "Corvane"]
     rows = []
     for k in range(160):
-        name = f"{given_names[k % 4]} {families[k // 4 % 4]}"
-        rows.append((k, f"The pass still drops a row here. Reported by {name} (+1 (555) 555-0{100 + k}).\nMail {name.split()[0].lower()}{k}@x.example about it, see Merge Window.", 1))
+        name = f"{given_names[k % 4] if k % 5 else given_names[k % 4][0] + '.'} {families[k // 4 % 4]}"
+        rows.append((k, f"The pass still drops a row here. Reported by {name} (+1 (555) 555-0{100 + k}).\nMail {name[0].lower()}{k}@x.example about it, see Merge Window.", 1))
     rows += [(900, None, 1), (901, "", 1), (902, rows[3][1].replace("\n", "\r\n"), 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start_char int")
     model = personal.train(personal.sample_windows(df), rounds=20)
