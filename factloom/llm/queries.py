@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -122,17 +121,9 @@ def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "classifier string, labelled bigint, precision double, recall double")
 
 
-_TAGGERS: dict[str, tagger.Tagger] = {}
-
-
 def _tagger(spark: SparkSession, folder: str) -> tagger.Tagger:
-    """The tagger trained on a bounded sample of a folder's documents; kept for other queries with the same sample."""
-    sample = personal.sample_windows(table(spark, folder, "documents"))
-    key = hashlib.sha256("\0".join(sample).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[key] = personal.train(sample)
-    return _TAGGERS[key]
+    """A tagger trained on a bounded sample of a folder's documents."""
+    return personal.train(personal.sample_windows(table(spark, folder, "documents")))
 
 
 @query
