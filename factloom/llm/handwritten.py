@@ -1,19 +1,18 @@
 """Files that were not written by hand: generated, minified, third-party copies, data saved as code.
 
-Three linear support-vector classifiers decide. One reads hashed components of a path: directories and their pairs, and
-the beginning and end of the file's name. The second reads hashed character n-grams of a text's body, the third those of
-the comments that it opens with. Labels come from what gives a file away: the names that tools and conventions give to
-paths, the shape of texts, and notices. The opening comments are masked before a body is read, so that the second
-classifier learns bodies, and a path whose file carries a notice under an ordinary name is no example for the first. All
-are fitted on bounded samples; part of the repositories is kept for validation. Every row of every table is then scored
-where it lies: a file is a case if its path, its governing package's path or its body scores above the threshold, or if
-its opening comments do and, by an exact check behind that classifier, carry a notice. Opening comments score as their
-best line or as a whole, whichever is more. Since that check follows, the third classifier's threshold is lowered by
-``SLACK``, and below the least score of all rows that carry a notice, so that the check's verdict holds for every row.
+Three linear support-vector classifiers decide, and nothing behind them. One reads hashed components of a path and
+character n-grams of its directories. The second reads hashed character n-grams of a text's body, with the opening
+comments, where headers give a file away, masked. The third reads those of the opening comments themselves, line by line,
+since a notice is a line of its own however long a licence stands around it. Labels come from what gives a file away:
+the names that tools and conventions give to paths, the shape of bodies, and the wording of notices; a path whose file
+carries a notice under an ordinary name, and an unmarked line next to a notice, are examples of neither side. All are
+fitted on bounded samples; part of the repositories is kept for validation. Every row of every table is then scored
+where it lies: a file is a case if its path, its governing package's path, its body or a line of its opening comments
+scores above the classifier's threshold.
 
 Defined cases: paths are written with forward slashes and without leading ``./``; rows without a path are left out;
-null and empty texts are judged by path alone; repeated rows give one row; an empty sample gives classifiers of paths and
-bodies that find nothing, and one of opening comments that passes all of them on to the exact check.
+null and empty texts are judged by path alone; repeated rows give one row; a sample without cases of a kind gives a
+classifier that finds none of that kind.
 """
 
 from __future__ import annotations
@@ -22,26 +21,18 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.operators.sampling import smallest_hashes
-from factloom.session import cut
-
-#: Labelled rows read for fitting at most: paths of both labels, texts and opening comments of each label.
-PATH_SAMPLE, TEXT_SAMPLE, OPENING_SAMPLE = 12_000, 1_500, 500
-#: Notices that must be among the samples for a classifier of opening comments; with fewer, all go to the exact check,
-#: which finds the same.
-LEAST_NOTICES = 50
+#: What the classifiers are fitted on at most, chosen by hash: distinct paths of each label; files looked at, and of those
+#: the unmarked ones that are kept; distinct lines of opening comments of each label.
+PATH_SAMPLE, FILE_SAMPLE, PLAIN_SAMPLE, LINE_SAMPLE = 6_000, 20_000, 4_000, 3_000
 PATH_BUCKETS, TEXT_BUCKETS = 1 << 20, 1 << 12
-#: Characters of a n-gram, and the share of repositories kept for validation.
-NGRAM, VALIDATION = 4, 0.2
-#: How far below the threshold opening comments still go to the exact check; classes lie 2 apart.
-SLACK = 0.75
-#: How far below the least score of a notice the threshold lies at least, for rounding.
-MARGIN = 1e-3
+#: Characters of a n-gram, of texts and of directory names, and the share of repositories kept for validation.
+NGRAM, DIR_NGRAM, VALIDATION = 4, 5, 0.2
 #: Path components must occur in so many repositories, so that no single project's names count.
 LEAST_REPOS = 3
 
@@ -70,9 +61,9 @@ def opening(text: str) -> str:
     return _HEAD.match(text)[0]
 
 
-def noticed(text: str) -> bool:
-    """Whether the opening comments say that the file is generated or copied."""
-    return bool(_NOTICE.search(opening(text)))
+def notice(line: str) -> bool:
+    """Whether a line of opening comments is worded as a notice of a generated or copied file; for labels only."""
+    return bool(_NOTICE.search(line))
 
 
 def tool_named(path: str) -> bool:
@@ -93,13 +84,14 @@ def shaped(text: str) -> bool:
 
 
 def path_features(path: str) -> list[int]:
-    """Buckets of a path's components."""
+    """Buckets of a path's components and of the n-grams of its directories."""
     parts = [re.sub(r"[-@]?v?\d+(?:\.\d+)+", "#", p) for p in path.strip("/").lower().split("/")]
     dirs, name = parts[1:-1], parts[-1]
     stem, _, chain = name.partition(".")
     chain = re.sub(r"\b[0-9a-f]{6,}\b", "#", chain)
     out = [f"d:{d}" for d in dirs] + [f"p:{a}/{b}" for a, b in zip(dirs, dirs[1:])] + [f"x:.{chain}"]
     out += [f"y:.{chain.rpartition('.')[0]}"] if "." in chain else []
+    out += [f"g:{f'^{d}$'[k : k + DIR_NGRAM]}" for d in dirs for k in range(len(d) + 3 - DIR_NGRAM)]
     words = re.split(r"([-_])", stem)
     if len(words) > 2:
         out += [f"e:{''.join(words[-2:])}", f"b:{''.join(words[:2])}"]
@@ -108,15 +100,20 @@ def path_features(path: str) -> list[int]:
     return sorted({zlib.crc32(x.encode()) % PATH_BUCKETS for x in out})
 
 
+def _buckets(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams that start at the given places of a row of bytes."""
+    h = raw[at] * np.uint32(0x9E3779B1)
+    for k in range(1, NGRAM):
+        h = (h ^ raw[at + k]) * np.uint32(0x85EBCA6B)
+    return ((h >> np.uint32(20)) & np.uint32(TEXT_BUCKETS - 1)).astype(np.int64)
+
+
 def ngrams(part: str) -> np.ndarray:
     """Counts of a passage's n-grams by bucket, dampened and of length 1."""
     raw = np.frombuffer(part.encode(), np.uint8).astype(np.uint32)
     if len(raw) < NGRAM:
         return np.zeros(TEXT_BUCKETS, np.float32)
-    h = raw[: len(raw) - NGRAM + 1] * np.uint32(0x9E3779B1)
-    for k in range(1, NGRAM):
-        h = (h ^ raw[k : len(raw) - NGRAM + 1 + k]) * np.uint32(0x85EBCA6B)
-    counts = np.bincount((h >> np.uint32(20)) & np.uint32(TEXT_BUCKETS - 1), minlength=TEXT_BUCKETS).astype(np.float32)
+    counts = np.bincount(_buckets(raw, np.arange(len(raw) - NGRAM + 1)), minlength=TEXT_BUCKETS).astype(np.float32)
     out = np.sqrt(counts)
     return out / np.float32(np.sqrt((out * out).sum()))
 
@@ -126,26 +123,25 @@ def text_features(text: str) -> np.ndarray:
     return ngrams(_MAPPING.sub("", text[len(opening(text)) :]))
 
 
-def opening_features(text: str) -> np.ndarray:
-    """The n-grams of the comments that a text opens with."""
-    return ngrams(opening(text))
-
+def opening_lines(text: str) -> list[str]:
+    """The different lines of the comments that a text opens with."""
+    return list(dict.fromkeys(x for line in opening(text).split("\n") if (x := line.strip())))
 
-def notice_features(text: str) -> np.ndarray:
-    """The n-grams of the opening lines that carry the notice, or of all the opening comments if none does."""
-    head = opening(text)
-    m = _NOTICE.search(head)
-    if not m:
-        return opening_features(text)
-    end = head.find("\n", m.end())
-    return ngrams(head[head.rfind("\n", 0, m.start()) + 1 : len(head) if end < 0 else end].strip())
 
-
-def opening_score(text: str, weights: np.ndarray) -> float:
-    """The best score of the opening comments' lines, and of all of them together."""
-    head = opening(text)
-    lines = {x for line in head.split("\n") if (x := line.strip())}
-    return max(float(ngrams(x) @ weights) for x in (head, *lines))
+def line_scores(lines: list[str], weights: np.ndarray) -> np.ndarray:
+    """The product of the weights with ``ngrams`` of each line, for all lines at once."""
+    raw = [np.frombuffer(x.encode(), np.uint8) for x in lines]
+    size = np.array([max(0, len(r) - NGRAM + 1) for r in raw], np.int64)
+    if not size.sum():
+        return np.zeros(len(lines))
+    line = np.repeat(np.arange(len(lines)), size)
+    start = np.cumsum([0, *(len(r) for r in raw[:-1])])
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    bucket = _buckets(np.concatenate(raw).astype(np.uint32), at)
+    key, count = np.unique(line * TEXT_BUCKETS + bucket, return_counts=True)
+    own, root = key // TEXT_BUCKETS, np.sqrt(count)
+    norm = np.sqrt(np.bincount(own, count, len(lines)))
+    return np.bincount(own, root * weights[key % TEXT_BUCKETS], len(lines)) / np.maximum(norm, 1e-9)
 
 
 @dataclass(frozen=True)
@@ -158,9 +154,13 @@ class Linear:
 
 
 def _report(score: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """Rows, precision and recall of the validation repositories at score 0."""
+    """Rows of the validation repositories, precision and recall at score 0, and rows that only the classifier or only
+    the label calls a case."""
     hit, said, true = float(((score > 0) & (y > 0)).sum()), float((score > 0).sum()), float((y > 0).sum())
-    return {"rows": float(len(y)), "precision": hit / said if said else 1.0, "recall": hit / true if true else 1.0}
+    return {"rows": float(len(y)), "precision": hit / said if said else 1.0, "recall": hit / true if true else 1.0, "found_alone": said - hit, "labelled_alone": true - hit}
+
+
+_NOTHING = {"rows": 0.0, "precision": 1.0, "recall": 1.0, "found_alone": 0.0, "labelled_alone": 0.0}
 
 
 def _fit(times, back, n: int, size: int, y: np.ndarray, weight: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> np.ndarray:
@@ -195,7 +195,7 @@ def fit_paths(rows: list[tuple[str, str, int]]) -> Linear:
     y = np.array([1.0 if label else -1.0 for _, _, label in rows])
     held = np.array([zlib.crc32(r.encode()) % 100 < 100 * VALIDATION for r, _, _ in rows], bool)
     if not len(rows) or not (y[~held] > 0).any():
-        return Linear(np.zeros(PATH_BUCKETS, np.float32), 1.0, {"rows": 0.0, "precision": 1.0, "recall": 1.0})
+        return Linear(np.zeros(PATH_BUCKETS, np.float32), 1.0, _NOTHING)
     train = np.flatnonzero(~held)
     at = np.repeat(np.arange(len(train)), [len(feats[k]) for k in train])
     used, col = np.unique(np.array([c for k in train for c in feats[k]], np.int64), return_inverse=True)
@@ -203,8 +203,8 @@ def fit_paths(rows: list[tuple[str, str, int]]) -> Linear:
     def times(w: np.ndarray) -> np.ndarray:
         return np.bincount(at, w[col], len(train))
 
-    times.norm = 12.0
-    small = _fit(times, lambda g: np.bincount(col, g[at], len(used)), len(train), len(used), y[train], np.ones(len(train)), rounds=600, ridge=1e-5)
+    times.norm = float(max((len(feats[k]) for k in train), default=1))
+    small = _fit(times, lambda g: np.bincount(col, g[at], len(used)), len(train), len(used), y[train], np.ones(len(train)), rounds=300, ridge=1e-5)
     w = np.zeros(PATH_BUCKETS + 1)
     w[used], w[-1] = small[:-1], small[-1]
     score = np.array([w[f].sum() + w[-1] for f, h in zip(feats, held) if h]) if held.any() else np.zeros(0)
@@ -213,7 +213,7 @@ def fit_paths(rows: list[tuple[str, str, int]]) -> Linear:
 
 def fit_texts(rows: list[tuple[str, np.ndarray, int]]) -> Linear:
     """A classifier from ``(repo, features, label)``."""
-    empty = Linear(np.zeros(TEXT_BUCKETS, np.float32), 1.0, {"rows": 0.0, "precision": 1.0, "recall": 1.0})
+    empty = Linear(np.zeros(TEXT_BUCKETS, np.float32), 1.0, _NOTHING)
     y = np.array([1.0 if label else -1.0 for _, _, label in rows])
     if not len(rows):
         return empty
@@ -224,49 +224,14 @@ def fit_texts(rows: list[tuple[str, np.ndarray, int]]) -> Linear:
     own = x[~held]
 
     def times(w: np.ndarray) -> np.ndarray:
-        return own @ w
+        return (own @ w.astype(np.float32)).astype(np.float64)
 
     times.norm = 1.0
     many = (y[~held] < 0).sum() / max(1, (y[~held] > 0).sum())
-    w = _fit(times, lambda g: g @ own, len(own), TEXT_BUCKETS, y[~held], np.where(y[~held] > 0, many, 1.0), rounds=300)
+    w = _fit(times, lambda g: (g.astype(np.float32) @ own).astype(np.float64), len(own), TEXT_BUCKETS, y[~held], np.where(y[~held] > 0, many, 1.0), rounds=200)
     return Linear(w[:-1].astype(np.float32), float(-w[-1]), _report(x[held] @ w[:-1] + w[-1], y[held]))
 
 
-def fit_openings(rows: list[tuple[str, np.ndarray, int]]) -> Linear:
-    """A classifier from ``(repo, features, label)`` whose threshold leaves the rest to the exact check."""
-    if sum(label for _, _, label in rows) < LEAST_NOTICES:
-        return Linear(np.zeros(TEXT_BUCKETS, np.float32), -1.0, {"rows": 0.0, "precision": 1.0, "recall": 1.0})
-    fitted = fit_texts(rows)
-    return Linear(fitted.weights, fitted.threshold - SLACK, fitted.report)
-
-
-def admit(docs: DataFrame, model: Linear) -> Linear:
-    """The classifier of opening comments with its threshold below the scores of all rows that carry a notice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [opening_score(t, model.weights) for t in batch.column(0).to_pylist() if noticed(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([min(scores)] if scores else [], pa.float64())], ["score"])
-
-    rows = docs.where(clean_path(F.col("file_path")).isNotNull() & F.col("text").isNotNull()).select("text")
-    least = rows.mapInArrow(run, "score double").agg(F.min("score").alias("least")).collect()[0].least
-    return model if least is None else Linear(model.weights, min(model.threshold, least - MARGIN), model.report)
-
-
-def _label_texts(docs: DataFrame) -> DataFrame:
-    """``(repo, path, label, notice)`` of source files, labelled by shape: 1 for cases, 2 for a notice alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = [t or "" for t in batch.column(2).to_pylist()]
-            notice = [noticed(t) for t in text]
-            by_shape = [1 if shaped(t) else 2 if n else 0 for t, n in zip(text, notice)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(by_shape, pa.int32()), pa.array(notice, pa.bool_())], ["repo", "path", "label", "notice"])
-
-    rows = docs.select(F.coalesce("repo", F.lit("")).alias("repo"), clean_path(F.col("file_path")).alias("path"), "text").where(F.col("path").isNotNull())
-    return rows.mapInArrow(run, "repo string, path string, label int, notice boolean")
-
-
 def _sparse(features: np.ndarray) -> bytes:
     """Buckets and values of what is not zero, as two runs of two bytes each."""
     at = np.flatnonzero(features)
@@ -280,58 +245,72 @@ def _dense(packed: bytes) -> np.ndarray:
     return out
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """Features of ``rows (repo, text, label, notice)``: of the body where it has a label, of the opening likewise."""
+def _below(key: str, share: float) -> Column:
+    """Whether a row belongs to a share of all rows, by the hash of its key."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text, label, notice = [batch.column(k).to_pylist() for k in (1, 2, 3)]
-            body = [None if x is None else _sparse(text_features(t or "")) for t, x in zip(text, label)]
-            head = [None if x is None else _sparse(notice_features(t or "")) for t, x in zip(text, notice)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary()), batch.column(2), pa.array(head, pa.binary()), batch.column(3)], ["repo", "body", "label", "head", "notice"])
 
-    return rows.mapInArrow(run, "repo string, body binary, label int, head binary, notice int")
+def sample_files(docs: DataFrame) -> DataFrame:
+    """``(path, repo, shaped, noticed, body, lines, marks)`` of a sample of files: whether the body has the shape of a case,
+    whether a line is worded as a notice, the body's features, the opening lines and which of them are notices.
 
-
-def _label_paths(paths: DataFrame) -> DataFrame:
-    """``(repo, path, label)`` of distinct ``paths (path)``, labelled by the names that tools and conventions give."""
+    ``FILE_SAMPLE`` files at most are looked at, about; of those without either sign as many as ``PLAIN_SAMPLE`` are
+    kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([p.split("/")[0] for p in path], pa.string()), batch.column(0), pa.array([int(tool_named(p)) for p in path], pa.int32())], ["repo", "path", "label"])
-
-    return paths.mapInArrow(run, "repo string, path string, label int")
-
-
-def _smallest(rows: DataFrame, label: int, most: int) -> DataFrame:
-    """At most ``most`` rows of a label, those with the smallest hashes."""
-    return smallest_hashes(rows.where(F.col("label") == label), "path", most)
+            out: list[tuple] = []
+            for path, repo, text, plain in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = opening_lines(text)
+                marks = [notice(x) for x in lines]
+                case = shaped(text)
+                if plain or case or any(marks):
+                    out.append((path, repo, case, any(marks), _sparse(text_features(text)), lines, marks))
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["path", "repo", "shaped", "noticed", "body", "lines", "marks"])
+
+    rows = docs.select(clean_path(F.col("file_path")).alias("path"), F.coalesce("repo", F.lit("")).alias("repo"), "text")
+    n = max(1, rows.where(F.col("path").isNotNull()).count())
+    chosen = rows.where(F.col("path").isNotNull() & F.col("text").isNotNull() & _below("path", FILE_SAMPLE / n)).withColumn("plain", _below("path", PLAIN_SAMPLE / n))
+    return chosen.mapInArrow(run, "path string, repo string, shaped boolean, noticed boolean, body binary, lines array<string>, marks array<boolean>")
+
+
+def sample_paths(paths: list[DataFrame]) -> list[str]:
+    """Different paths that ``found`` judges, ``4 * PATH_SAMPLE`` at most, about."""
+    every = reduce(DataFrame.unionByName, [p.select("judged") for p in paths]).where(F.col("judged").isNotNull())
+    n = max(1, every.agg(F.approx_count_distinct("judged")).collect()[0][0])
+    return sorted(r.judged for r in every.where(_below("judged", 4 * PATH_SAMPLE / n)).distinct().collect())
+
+
+def _line_rows(files: list) -> list[tuple[str, np.ndarray, int]]:
+    """``(repo, features, label)`` of different opening lines: notices, and lines of files without one."""
+    told: dict[str, tuple[str, int]] = {}
+    for r in files:
+        for line, mark in zip(r.lines, r.marks):
+            if mark or not r.noticed:
+                told.setdefault(line, (r.repo, int(mark)))
+    order = sorted(told, key=lambda x: zlib.crc32(x.encode()))
+    kept = [x for label in (1, 0) for x in [x for x in order if told[x][1] == label][:LINE_SAMPLE]]
+    return [(told[x][0], ngrams(x), told[x][1]) for x in kept]
 
 
 def fit(docs: DataFrame, paths: list[DataFrame]) -> tuple[Linear, Linear, Linear]:
-    """The classifiers of paths, bodies and opening comments, fitted on samples bounded by ``PATH_SAMPLE``,
-    ``TEXT_SAMPLE`` and ``OPENING_SAMPLE``; the last one's threshold by all rows.
+    """The classifiers of paths, bodies and opening lines, fitted on ``sample_paths`` and ``sample_files``.
 
-    The samples are, for each label, the rows with the smallest hashes of their path. ``paths`` is as for ``found``;
-    the first part of a path is its repository.
+    ``paths`` is as for ``found``; the first part of a path is its repository.
     """
-    texts = cut(_label_texts(docs), "hand-texts")
-    every = paths[0].select("judged")
-    for frame in paths[1:]:
-        every = every.unionByName(frame.select("judged"))
-    names = cut(_label_paths(every.where(F.col("judged").isNotNull()).distinct().withColumnRenamed("judged", "path")), "hand-paths")
-    noticed_paths = texts.where("label = 2").select("path").distinct()
-    named = _smallest(names, 1, PATH_SAMPLE // 2).unionByName(_smallest(names.join(noticed_paths, "path", "left_anti"), 0, PATH_SAMPLE // 2)).collect()
-    bodies = _smallest(texts, 1, TEXT_SAMPLE).unionByName(_smallest(texts, 0, TEXT_SAMPLE)).select("path", "label", F.lit(None).cast("int").alias("notice"))
-    heads = smallest_hashes(texts.where("notice"), "path", OPENING_SAMPLE).unionByName(smallest_hashes(texts.where("NOT notice"), "path", OPENING_SAMPLE)).select("path", F.lit(None).cast("int").alias("label"), F.col("notice").cast("int"))
-    chosen = bodies.unionByName(heads).groupBy("path").agg(F.max("label").alias("label"), F.max("notice").alias("notice"))
-    sample = docs.select(F.coalesce("repo", F.lit("")).alias("repo"), clean_path(F.col("file_path")).alias("path"), "text").join(F.broadcast(chosen), "path").select("repo", "text", "label", "notice")
-    features = _features(sample).collect()
+    files = sorted(sample_files(docs).collect(), key=lambda r: (r.path, r.body))
+    told = {r.path for r in files if r.noticed or r.shaped}
+    named: tuple[list[str], list[str]] = ([], [])
+    for p in sorted(sample_paths(paths), key=lambda x: zlib.crc32(x.encode())):
+        if len(named[label := int(tool_named(p))]) < PATH_SAMPLE and (label or p not in told):
+            named[label].append(p)
+    bodies = [(r.repo, _dense(r.body), int(r.shaped)) for r in files if r.shaped or not r.noticed]
     return (
-        fit_paths([(r.repo, r.path, r.label) for r in named]),
-        fit_texts([(r.repo, _dense(r.body), r.label) for r in features if r.body is not None]),
-        admit(docs, fit_openings([(r.repo, _dense(r.head), r.notice) for r in features if r.head is not None])),
+        fit_paths([(p.split("/")[0], p, label) for label in (0, 1) for p in named[label]]),
+        fit_texts(bodies),
+        fit_texts(_line_rows(files)),
     )
 
 
@@ -361,17 +340,17 @@ def found(docs: DataFrame, paths: list[DataFrame], models: tuple[Linear, Linear,
         for batch in batches:
             path, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple[str, str]] = []
-            for p, t in zip(path, text):
-                if t and float(text_features(t) @ by_text.weights) > by_text.threshold:
+            lines = [opening_lines(t) for t in text]
+            known = {x: k for k, x in enumerate({x for own in lines for x in own})}
+            score = line_scores(list(known), by_opening.weights)
+            for p, t, own in zip(path, text, lines):
+                if float(text_features(t) @ by_text.weights) > by_text.threshold:
                     out.append((p, "text"))
-                if t and opening_score(t, by_opening.weights) > by_opening.threshold and noticed(t):
+                if any(score[known[x]] > by_opening.threshold for x in own):
                     out.append((p, "notice"))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["file_path", "reason"])
 
-    own = docs.select(clean_path(F.col("file_path")).alias("file_path"), "text").where(F.col("file_path").isNotNull() & F.col("text").isNotNull())
+    own = docs.select(clean_path(F.col("file_path")).alias("file_path"), "text").where(F.col("file_path").isNotNull() & (F.col("text") != ""))
     hits = own.mapInArrow(judge_texts, "file_path string, reason string")
-    named = None
-    for frame in paths:
-        rows = frame.where(F.col("file_path").isNotNull() & F.col("judged").isNotNull()).distinct()
-        named = rows if named is None else named.unionByName(rows)
+    named = reduce(DataFrame.unionByName, [frame.where(F.col("file_path").isNotNull() & F.col("judged").isNotNull()).distinct() for frame in paths])
     return hits.unionByName(named.mapInArrow(judge_paths, "file_path string").withColumn("reason", F.lit("path"))).distinct()

@@ -115,10 +115,11 @@ def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p1_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """How the classifiers judge the labels of the repositories kept for validation."""
+    """How the classifiers judge the repositories kept for validation against the labels, and where only one of the two
+    calls a case."""
     models = handwritten.fit(_files(spark, folder), _paths(spark, folder))
-    rows = [(name, int(m.report["rows"]), round(m.report["precision"], 4), round(m.report["recall"], 4)) for name, m in zip(("path", "text", "opening"), models)]
-    return spark.createDataFrame(rows, "classifier string, labelled bigint, precision double, recall double")
+    rows = [(name, int(m.report["rows"]), round(m.report["precision"], 4), round(m.report["recall"], 4), int(m.report["found_alone"]), int(m.report["labelled_alone"])) for name, m in zip(("path", "text", "opening"), models)]
+    return spark.createDataFrame(rows, "classifier string, labelled bigint, precision double, recall double, found_alone bigint, labelled_alone bigint")
 
 
 def _tagger(spark: SparkSession, folder: str) -> tagger.Tagger:

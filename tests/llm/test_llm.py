@@ -175,37 +175,37 @@ def test_templates_do_not_depend_on_copies_or_size(spark):
         assert names.count("copied") == 30 and len(names) == 30 + 20 * size and not any(n.startswith("same") for n in names)
 
 
-def test_handwritten_notices_and_shapes():
-    assert handwritten.noticed("// Code generated by x. DO NOT EDIT.\nvar a;") and handwritten.noticed("/*! lib 1.2.3 | licence */\n")
-    assert not handwritten.noticed('var s = "// Code generated by x. DO NOT EDIT.";') and not handwritten.noticed("// Kept apart from the generated code on purpose.\n")
+def test_handwritten_labels_and_shapes():
+    lines = handwritten.opening_lines("#!/bin/x\n// Code generated by x. DO NOT EDIT.\n\n/* a\n * a\n*/\nvar a; // @generated\n")
+    assert lines == ["#!/bin/x", "// Code generated by x. DO NOT EDIT.", "/* a", "* a", "*/"] and handwritten.opening_lines("") == []
+    assert handwritten.notice(lines[1]) and handwritten.notice("/*! lib 1.2.3 | licence */") and not handwritten.notice("// Kept apart from the generated code on purpose.")
     assert handwritten.tool_named("r/node_modules/x/a.js") and handwritten.tool_named("r/a/b_pb2.py") and not handwritten.tool_named("r/codegen/distance/min_a.js")
     assert handwritten.shaped("x = [" + "0x1234, " * 100 + "]") and not handwritten.shaped("const s = 'some words in a row';\n" * 40) and not handwritten.shaped("")
+    masked = handwritten.text_features("// Code generated by x. DO NOT EDIT.\nvar abc = 1;")
+    assert (masked == handwritten.text_features("var abc = 1;")).all()
+    assert abs(handwritten._dense(handwritten._sparse(masked)) - masked).max() < 1e-3
 
 
-def test_handwritten_openings_learn_notices_and_leave_few_to_the_check():
-    plain = [f"// {w} handling for the {v} project.\nvar a = 1;\n" for w in ("Path", "Token", "Scope", "Generated code", "Row") for v in ("loam", "reed", "fern", "moss", "oak")]
-    marked = [f"// Code generated by {w}{k}. DO NOT EDIT.\nvar a = 1;\n" for w in ("weave", "mill", "press") for k in range(20)]
-    rows = [(f"r{k % 9}", handwritten.opening_features(t), 0) for k, t in enumerate(plain)] + [(f"r{k % 9}", handwritten.opening_features(t), 1) for k, t in enumerate(marked)]
-    model = handwritten.fit_openings(rows)
-    score = lambda t: float(handwritten.opening_features(t) @ model.weights) - model.threshold
-    assert all(score(t) > 0 for t in marked) and sum(score(t) > 0 for t in plain) < len(plain) // 2
-    few = handwritten.fit_openings(rows[:-30])
-    assert float(few.weights.sum()) - few.threshold > 0  # too few notices: all go to the exact check
-    f = handwritten.opening_features(marked[0])
-    assert abs(handwritten._dense(handwritten._sparse(f)) - f).max() < 1e-3
+def test_handwritten_line_scores_equal_those_of_their_ngrams():
+    weights = np.random.default_rng(2).normal(size=handwritten.TEXT_BUCKETS).astype(np.float32)
+    lines = ["// Code generated by x", "ab", "", "ünïcode ünïcode ünïcode", "aaaaaaaaaaaaaaaaaaa", "// Code generated by x"]
+    assert np.allclose(handwritten.line_scores(lines, weights), [float(handwritten.ngrams(x) @ weights) for x in lines], atol=1e-4)
+    assert handwritten.line_scores([], weights).tolist() == [] and handwritten.line_scores(["a"], weights).tolist() == [0.0]
 
 
-def test_handwritten_notice_below_a_long_licence_is_found(spark):
+def test_handwritten_openings_are_scored_line_by_line(spark):
     licence = "".join(f"// Permission number {k} is granted to copy, merge and publish this work provided that part {k * 7} of the terms is kept.\n" for k in range(120))
     body = "\n".join(f"const value{x} = compute(other{x});" for x in range(30))
-    rows = [(f"// Code generated by weave{k}. DO NOT EDIT.\n{body}{k}", f"r{k % 12}/src/app/g{k}.js") for k in range(80)]
-    rows += [(f"{licence}{body}{k}", f"r{k % 12}/src/lib/h{k}.js") for k in range(80)]
-    rows += [(f"{licence}// Do not patch this by hand, please\n{body}", "r1/src/lib/late.js")]
+    rows = [(f"// Code generated by weave{k}. DO NOT EDIT.\n//   Manual changes are lost on the next run.\n{body}{k}", f"r{k % 12}/src/app/g{k}.js") for k in range(80)]
+    rows += [(f"{licence}// Part {k} of the row reader\n{body}{k}", f"r{k % 12}/src/lib/h{k}.js") for k in range(80)]
+    rows += [(f"// Kept apart from the generated part {k} on purpose.\n{body}", f"r{k % 12}/src/lib/k{k}.js") for k in range(20)]
+    rows += [(f"{licence}// This code was generated by a mill, please DO NOT EDIT it here\n{body}", "r1/src/lib/late.js")]
     df = docs(spark, rows)
     paths = [df.select(F.col("file_path"), F.col("file_path").alias("judged"))]
     models = handwritten.fit(df, paths)
     found = {r.file_path for r in handwritten.found(df, paths, models).where("reason = 'notice'").collect()}
-    assert found == {p for t, p in rows if handwritten.noticed(t)} and "r1/src/lib/late.js" in found
+    assert found == {p for _, p in rows if "/g" in p} | {"r1/src/lib/late.js"}
+    assert models[2].report["recall"] == 1.0 and set(models[2].report) == {"rows", "precision", "recall", "found_alone", "labelled_alone"}
 
 
 def test_handwritten_tables(spark):
