@@ -36,7 +36,7 @@ _NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.\d[\d_
 _CONFLICT = r"^(?:<{7}|>{7}|={7}|\|{7})(?=\s|\Z)"
 _C_SKIP = r"[ \t\f\v\r ﻿]+|//[^\n]*|/\*[\s\S]*?\*/"
 _DQ, _SQ = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
-_HOLE = r"\$\{(?:[^{}`'\"]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+_HOLE = r"\$\{(?:[^{}`'\"]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')*\}"
 _TEMPLATE = rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|{_HOLE})*`"
 _REGEX = r"(?:(?<=[=(,:\[!&|?{};\n])|(?<=[=(,:\[!&|?{};>] )|(?<=return )|(?<=typeof )|(?<=case ))/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _MARKS = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<|->|::|[-+*/%&|^!~<>=?:;,.(){}\[\]@]"
@@ -74,6 +74,35 @@ _PY_HEADS = ("if", "while", "for", "def", "class", "with", "try", "else", "elif"
 OPEN, CLOSE = "([{", ")]}"
 
 
+_DEEP_HOLE = re.compile(r"\$\{[^}]*[`{]")
+_CODE_PART = re.compile(rf"{_DQ}|{_SQ}|//[^\n]*|/\*[\s\S]*?\*/|{_REGEX}|([`{{}}])")
+_TEMPLATE_PART = re.compile(r"\\[\s\S]|(`|\$\{)")
+
+
+def plain_templates(text: str) -> str:
+    """A script in which template literals whose holes hold braces or literals of their own have blanks in place of them,
+    at any depth. The length stays; a literal that isn't closed stays as it is."""
+    if not _DEEP_HOLE.search(text):
+        return text
+    out, last, at = [], 0, 0
+    while m := _CODE_PART.search(text, at):
+        at = m.end()
+        if m[1] != "`":
+            continue
+        open_, end = ["`"], at
+        while open_ and (m := (_TEMPLATE_PART if open_[-1] == "`" else _CODE_PART).search(text, end)):
+            end = m.end()
+            if m[1] == open_[-1]:
+                open_.pop()
+            elif m[1]:
+                open_.append("`" if m[1] == "`" else "}")
+        if open_:
+            break
+        out += [text[last:at], re.sub(r"[`$\\]", " ", text[at : end - 1])]
+        last, at = end - 1, end
+    return "".join([*out, text[last:]])
+
+
 @dataclass(frozen=True)
 class Lexer:
     """The pattern of a language, the numbers of its token classes, and the classes of spellings seen."""
@@ -159,9 +188,11 @@ def lex(texts: list[str], language: str) -> tuple[np.ndarray, np.ndarray, np.nda
     n, seen, find = lx.number, lx.seen, lx.pattern.findall
     tokens: list[str] = []
     counts = np.empty(len(texts), np.int64)
-    python = language == "python"
+    python, script = language == "python", language in ("javascript", "typescript")
     for k, text in enumerate(texts):
         text = text.replace("\r\n", "\n")
+        if script and "`" in text:
+            text = plain_templates(text)
         got = [t for t in find("\n" + text.strip("\n") + "\n" if python else text) if t]
         counts[k] = len(got)
         tokens += got

@@ -75,7 +75,7 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documented functions of the files that parse."""
     docs = table(spark, folder, "documents")
-    found = documented.documented(docs, with_code=False).select("doc_id", "method_name", "start_line").distinct()
+    found = documented.documented(docs).select("doc_id", "method_name", "start_line").distinct()
     return found.join(parsing.faults(docs).select("doc_id"), "doc_id", "left_anti")
 
 

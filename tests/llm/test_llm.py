@@ -126,6 +126,14 @@ def test_parse_faults(spark):
     assert (r.files, r.invalid) == (2 + len(BAD["g.json"]), len(BAD["g.json"]))
 
 
+def test_templates_of_any_depth_are_lexed():
+    deep = "`a${f({b: `c${`d${`e${`f${1}`}`}`}`})}g`"
+    assert len(lexers.plain_templates(f"x = {deep};")) == len(f"x = {deep};") and lexers.plain_templates("`${a}` + `b`") == "`${a}` + `b`"
+    code = lexers.lex([f"let x = {deep} + '`${{' ; // `${{`\n", "let y = `${a{`;"], "javascript")[0].tolist()
+    n = lexers.classes()
+    assert code.count(n["str"]) == 2 and code.count(n["ERR"]) > 0 and code.index(n["ERR"]) > code.index(n["EOF"])
+
+
 def test_grammar_relations():
     g = ebnf.Grammar('S = "a" { B } [ "c" ] "d" ; B = "b" | S ;')
     assert g.first["S"] == {"a"} and ("b", "c") in g.adjacent("S") and ("a", "d") in g.adjacent("S") and ("d", "EOF") in g.adjacent("S") and ("c", "b") not in g.adjacent("S")
@@ -146,11 +154,47 @@ def test_documented_functions():
     assert [(n, line) for n, line, *_ in documented.functions(java, "java")] == [("next", 4)]
     py = 'class A:\n    async def f(\n        self,\n    ) -> int:\n        """Gives the number of rows.\n\n        :param x: none\n        """\n        return 1\n\ndef g(): \'Too short\'\ndef h():\n    x = """Not a doc string at all"""\n'
     got = documented.functions(py, "python")
-    assert [(n, line, d) for n, line, d, _ in got] == [("f", 2, "Gives the number of rows.")] and got[0][3].endswith("return 1")
+    assert [(n, line, d) for n, line, d, *_ in got] == [("f", 2, "Gives the number of rows.")] and got[0][3].endswith("return 1")
     cs = '/// <summary>\n/// Counts all rows of it.\n/// </summary>\n/// <param name="a">the a of the call</param>\n[Obsolete("x")]\npublic static int CountRows<T>(int a) where T : new() => 1;\n/// <inheritdoc/>\nvoid F() { }\n'
     assert [(n, line) for n, line, *_ in documented.functions("class A {\n" + cs + "}", "csharp")] == [("CountRows", 7)]
 
 
+FUNCTIONS = {
+    "a.js": (["(a, {b, c} = {}, ...d) { for (const k of a) { if (k) continue; else break } return b ? `t ${`n ${`m ${`l ${c}`}`}`}` : [1, 2,, 3] }", "(a) { try { await_(a) } catch { }\n let x = y => ({a, get b() { return 1 }})\n do x++; while (x < 9)\n return }", "(a) { switch (a) { case 1: b(); break; default: return } x: for (;;) { break x } }"], ["(a,,b) { return a }", "(a) { return a + * ; let let = ; }", "(a) { if a > 8) { } }", "(a) { else { } }", "(a) { return [a; }"]),
+    "b.ts": (["<T extends B>(a?: T, b: Map<string, number[]> = new Map()): a is T { const v = a as unknown as T; return v!.x!.y<T>(b) satisfies Z }"], ["(a: , b) { }", "(a: string) { const x: = 1; }"]),
+}
+
+
+@pytest.mark.parametrize("path", FUNCTIONS)
+def test_functions_of_scripts_must_derive(path):
+    language = lexers.known([path])[0]
+    doc = "/** Adds up all the given rows. */\nfunction f{0}{1}\n"
+    good, bad = FUNCTIONS[path]
+    text = "".join(doc.format(k, x) for k, x in enumerate([*good, *bad])) + "/** Broken to its end, this one. */ function g( {"
+    assert [n for n, *_ in documented.sound_functions([text], language)[0]] == [f"f{k}" for k in range(len(good))]
+
+
+def test_functions_of_other_languages_must_derive():
+    java = "class A { {{{\n" + "".join(f"/** Adds up all the given rows. */\n{x}\n" for x in ["<T> int a(final int... x) throws E { for (int i = 0; i < 3; i++) g((p, q) -> p + q, String::valueOf); return x instanceof F f ? null : new ArrayList<>() {}; }", "int b(int int, String) { return 1; }", "int c(int x) { if (x > 1) return 1; else }", "void d() { try (var r = open()) { r.x(); } catch (A | B e) { throw e; } finally { } }"])
+    assert [n for n, *_ in documented.sound_functions([java], "java")[0]] == ["a", "d"]
+    cs = "class A {{{{\n" + "".join(f"/// <summary>Adds up all the given rows.</summary>\n{x}\n" for x in ["int A(ref int x, string y = \"a\") { if (x is Foo f && y as B != null) return x switch { 1 => 2, _ => 3 }; return 0; }", "int B<T>(T x) where T : new() => x?.Y ?? new T { Z = 1 };", "int C(int x y) { return x; }", "int D() { return x +; }"])
+    assert [n for n, *_ in documented.sound_functions([cs], "csharp")[0]] == ["A", "B"]
+    py = "x = (\n" * 0 + "class A:\n" + "".join(f"    def {x}\n" for x in ['a(self, *b, k: int = 1, **c) -> int:\n        """Adds up all the given rows."""\n        with open(k) as f, g:\n            return [i for i in b if i][1:]\n        try: pass\n        except (A, B) as e:\n            raise E from e', 'b(a b, ):\n        """Adds up all the given rows."""\n        return 1', 'c(a):\n        """Adds up all the given rows."""\n        return a +', 'd(a):\n        """Adds up all the given rows."""\n        if a:\n        return a', 'e(a):\n        """Adds up all the given rows."""'])
+    assert [n for n, *_ in documented.sound_functions([py], "python")[0]] == ["a", "e"]
+    members = "class A {\n/** Removes the row of a key. */\ndelete(k) { }\n/** Gives back what is there. */\nstatic async *in(k) { yield* k }\n}\nfor (const k of x) { /** Only while there are rows. */ if (k) { } }"
+    assert [n for n, *_ in documented.sound_functions([members], "javascript")[0]] == ["delete", "in"]
+
+
+def test_nested_brackets_are_read_in_parts():
+    g = ebnf.Grammar('P = { S } ; S = "a" ";" | "{" { S } "}" | "[" [ "b" { "," "b" } ] "]" ; ')
+    own = gll.Nested(g, "P", "S", by_line=False)
+    derives = lambda t: own.derives(t.split(), [False] * len(t.split()))
+    assert derives("a ; { a ; { } a ; } [ b , b , b , b ]") and derives("") and derives("[ ]")
+    assert not derives("{ a }") and not derives("{ a ;") and not derives("a ; }") and not derives("[ b , , b ]") and not derives("[ b , b , ]") and not derives("( )")
+    deep = "{ " * 3000 + "} " * 3000
+    assert derives(deep) and not derives(deep + "}") and derives("[ " + "b , " * 20_000 + "b ]")
+
+
 @pytest.mark.parametrize("text, name, want", [("Prunes the closure bundle.", "pruneClosureBundle", True), ("Auto-generated method stub.", "f", True), ("See base class for the details.", "f", True), ("Gives the rows in order.", "rows", False), ("", "f", True), ("Applies a filter to rows", "apply_filter", False)])
 def test_trivial_descriptions(text, name, want):
     assert documented.trivial(text, name) is want
@@ -164,9 +208,15 @@ def test_pairs_drop_templates(spark):
     assert documented.pairs(df.limit(0)).count() == 0
 
 
+def test_templates_are_known_by_what_does_not_differ():
+    assert documented.template("Gives the rowSet of 12 tokens for 'a b'.", "tokensOf") == "gives the # # # # for #."
+    assert documented.template("Returns the name of this object.", "getName") == documented.template("Returns the size of this object.", "size") == "returns the # of this object."
+    assert documented.template("Walks the rows in order.", "go") != documented.template("Walks the cells in order.", "go")
+
+
 def test_templates_do_not_depend_on_copies_or_size(spark):
     def corpus(size):
-        rows = [(f"/** Walks the rows of part {k} in their order. */\nfunction own{k}() {{ return {k}; }}\n", f"a{k}.js") for k in range(20 * size)]
+        rows = [(f"/** Walks the {''.join(chr(97 + int(d)) for d in str(k))} rows in their order. */\nfunction own{k}() {{ return {k}; }}\n", f"a{k}.js") for k in range(20 * size)]
         rows += [(f"/** Shared by many of them. */\nfunction same{k}() {{ }}\n", f"b{k}.js") for k in range(5 * size)]
         return docs(spark, rows + [("/** Copied to many places whole. */\nfunction copied() { return 1; }\n" + " " * (k % 2), f"c{k}.js") for k in range(30)])
 
