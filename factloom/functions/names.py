@@ -16,6 +16,11 @@ def words(name: Column) -> Column:
     return F.filter(F.split(kebab(name), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def subtokens(text: Column) -> Column:
+    """The parts of identifiers and paths, of at least two characters, in lower case: ``onUnmountedHook`` gives on, unmounted, hook."""
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)), lambda x: F.length(x) > 1), F.lower)
+
+
 def last_segment(name: Column, separator: str = ".") -> Column:
     """What stands behind the last separator."""
     return F.substring_index(name, separator, -1)

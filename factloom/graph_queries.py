@@ -203,7 +203,7 @@ def innermost_interval(spark, folder):
 def max_prefix(spark, folder):
     part = table(spark, folder, "part")
     prefixes = part.select(F.split("p_name", " ")[0].alias("prefix")).union(part.where("p_size < 10").select("p_name"))
-    return joins.longest_prefix(part.select("p_partkey", "p_name"), "p_name", prefixes, "prefix", 64)
+    return joins.longest_prefix(part.select("p_partkey", "p_name"), "p_name", prefixes, "prefix")
 
 
 @query("WITH need AS (SELECT DISTINCT o_orderstatus FROM orders) SELECT o_custkey FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM need)")

@@ -10,6 +10,7 @@ give the seeds alone or nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import count
 
@@ -148,3 +149,32 @@ def bottleneck(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             drop(old)
     levels.add(level)
     return levels.all().groupBy("query", "node").agg(F.min("worst").alias("worst"))
+
+
+def fixpoint(start: dict[str, DataFrame], rules: list[tuple[str, str, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]]]) -> dict[str, DataFrame]:
+    """Relations that define each other, from their starting rows to the least fixpoint, semi-naively.
+
+    A rule is ``(head, body, derive)``: ``derive(fresh, known)`` gives rows of the head from the rows of the relation
+    ``body`` that came in the last round and from all rows of every relation. Rounds end when nothing is new, so rules
+    must not make ever new values; rows are sets, nulls equal nulls.
+    """
+    fresh = {name: written(df.distinct(), name) for name, df in start.items()}
+    levels = {name: _Levels(name) for name in start}
+    for name, table in fresh.items():
+        levels[name].add(table)
+    while any(t.rows for t in fresh.values()):
+        known = {name: own.all() for name, own in levels.items()}
+        found: dict[str, list[DataFrame]] = {name: [] for name in start}
+        for head, body, derive in rules:
+            if fresh[body].rows:
+                found[head].append(derive(fresh[body].frame, known).select(known[head].columns))
+        last, fresh = fresh, {}
+        for name, parts in found.items():
+            rows = reduce(DataFrame.unionByName, parts) if parts else known[name].limit(0)
+            fresh[name] = written(rows.distinct().subtract(known[name]), name)
+        for name, table in last.items():
+            if not levels[name].holds(table):
+                drop(table)
+        for name, table in fresh.items():
+            levels[name].add(table) if table.rows else drop(table)
+    return {name: own.all() for name, own in levels.items()}

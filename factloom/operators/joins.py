@@ -26,15 +26,30 @@ def nearest(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_rank", F.rank().over(W.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def longest_prefix(items: DataFrame, text: str, prefixes: DataFrame, prefix: str, longest: int) -> DataFrame:
-    """Each item with the longest prefix that it starts with; ``longest`` is the longest prefix's length.
+def longest_prefix(items: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Each item with the longest prefix that it starts with.
 
-    An item joins by each of its own prefixes, so this is an equality join and not a comparison of all pairs.
+    An item joins by those of its own prefixes whose length some prefix has, so this is an equality join and not a
+    comparison of all pairs, and no prefix is too long for it.
     """
-    cut = items.withColumn(prefix, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.greatest(F.length(text), F.lit(1)))), lambda n: F.substring(F.col(text), F.lit(1), n))))
-    hit = cut.join(prefixes.select(prefix).distinct(), prefix)
-    by = [c for c in items.columns]
-    return hit.groupBy(*by).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+    known = prefixes.select(prefix).where(F.col(prefix).isNotNull()).distinct()
+    lengths = known.agg(F.sort_array(F.collect_set(F.length(prefix))).alias("_lengths"))  # one row
+    own = F.filter("_lengths", lambda n: n <= F.length(text))
+    cut = items.crossJoin(F.broadcast(lengths)).withColumn(prefix, F.explode(F.transform(own, lambda n: F.substring(F.col(text), F.lit(1), n)))).drop("_lengths")
+    return cut.join(known, prefix).groupBy(*items.columns).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+
+
+def containing(items: DataFrame, text: str, needles: DataFrame, needle: str, size: int = 3) -> DataFrame:
+    """Distinct pairs of a text and a needle of at least ``size`` characters that it contains.
+
+    Each needle is looked for by the rarest of its n-grams among the texts, an equality join; what meets is then compared.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda k: F.substr(c, k, F.lit(size))))
+    own = items.select(text).where(F.length(text) >= size).distinct().withColumn("_gram", F.explode(grams(F.col(text))))
+    counts = own.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = needles.select(needle).where(F.length(needle) >= size).distinct().withColumn("_gram", F.explode(grams(F.col(needle))))
+    rarest = wanted.join(counts, "_gram", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram"))).alias("_r")).select(needle, F.col("_r._gram").alias("_gram"))
+    return own.join(rarest, "_gram").where(F.col(text).contains(F.col(needle))).select(text, needle)
 
 
 def divide(rows: DataFrame, group: str, value: str, required: DataFrame) -> DataFrame:
@@ -55,6 +70,13 @@ def capped(rows: DataFrame, key: str, value: str, cap: int) -> DataFrame:
     return rows.join(fan(rows, key, value).where(F.col("fan") <= cap).select(key), key, "left_semi")
 
 
+def capped_both(writes: DataFrame, registers: DataFrame, key: str, writer: str, declared: str, cap: int, use_cap: int) -> DataFrame:
+    """``(writer, declared, key)``: who writes a key with what it registers, for keys that at most ``cap`` declarations
+    register and at most ``use_cap`` writers write; others identify nothing. So a key makes at most cap x use_cap rows."""
+    few = lambda rows, value, most: capped(rows.select(key, value).where(F.col(key).isNotNull() & F.col(value).isNotNull()), key, value, most).distinct()
+    return few(writes, writer, use_cap).join(few(registers, declared, cap), key).where(F.col(writer) != F.col(declared)).select(writer, declared, key)
+
+
 def segments(path: Column) -> Column:
     """Segments of a path without empty ones; placeholders of any spelling become ``*``."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
@@ -62,18 +84,22 @@ def segments(path: Column) -> Column:
 
 
 def match_routes(written: DataFrame, registered: DataFrame) -> DataFrame:
-    """``(written, registered, same)`` of routes that agree in each segment or meet a placeholder there.
+    """``(route, template, same)`` of routes that agree in each segment or meet a placeholder there.
 
-    ``written(route)``, ``registered(template)``. Routes join on the number of segments and on one literal segment at
-    the same place; ``same`` is the number of equal literals, and the most equal templates of a route are kept.
+    ``written(route)``, ``registered(template)``. The shape of a route says where it has placeholders; routes and
+    templates are few shapes. For each two shapes of equal length both sides get a key, their segments with a
+    placeholder wherever either shape has one, and join by it, so only what agrees ever meets. ``same`` is the number
+    of equal literals, at least one; the most equal templates of a route are kept.
     """
 
-    def prepare(df: DataFrame, name: str) -> DataFrame:
-        return df.select(name, segments(F.col(name)).alias("_s")).distinct().withColumn("_n", F.size("_s"))
-
-    w, r = prepare(written, "route"), prepare(registered, "template")
-    probe = lambda df: df.select("*", F.posexplode("_s").alias("_at", "_literal")).where("_literal != '*'")
-    pairs = probe(w).alias("w").join(probe(r).alias("r"), ["_n", "_at", "_literal"]).select("route", "template", F.col("w._s").alias("ws"), F.col("r._s").alias("rs")).distinct()
-    both = F.zip_with("ws", "rs", lambda a, b: F.when((a == b) & (a != "*"), 1).when((a == "*") | (b == "*"), 0).otherwise(-1))
-    scored = pairs.withColumn("_m", both).where(F.array_min("_m") >= 0).withColumn("same", F.aggregate("_m", F.lit(0), lambda s, x: s + x))
-    return nearest(scored, ["route"], [F.desc("same")]).select("route", "template", "same")
+    def prepare(df: DataFrame, name: str, shape: str) -> DataFrame:
+        own = df.select(name, segments(F.col(name)).alias("_s")).where(F.col(name).isNotNull()).distinct()
+        return own.withColumn(shape, F.transform("_s", lambda s: s == "*"))
+
+    w, r = prepare(written, "route", "_w"), prepare(registered, "template", "_r")
+    a, b = w.select("_w").distinct(), r.select("_r").distinct()
+    both = a.join(b, F.size("_w") == F.size("_r")).withColumn("_open", F.zip_with("_w", "_r", lambda x, y: x | y)).where(F.exists("_open", lambda x: ~x))
+    key = lambda: F.array_join(F.zip_with("_s", "_open", lambda s, o: F.when(o, "*").otherwise(s)), "/").alias("_key")
+    left = w.join(both, "_w").select("route", "_w", "_r", key(), F.aggregate("_open", F.lit(0), lambda n, o: n + F.when(o, 0).otherwise(1)).alias("same"))
+    right = r.join(both, "_r").select("template", "_w", "_r", key())
+    return nearest(left.join(right, ["_w", "_r", "_key"]), ["route"], [F.desc("same")]).select("route", "template", "same")

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from factloom.operators import closure
+from factloom.session import cut
+
 
 def by_scope(items: DataFrame, candidates: DataFrame, target: str, scopes: Sequence[Sequence[str]]) -> DataFrame:
     """Items with ``depth``, ``candidates`` and ``target`` of the innermost scope that declares them.
@@ -38,24 +41,35 @@ def first_source(items: DataFrame, key: str, sources: Sequence[tuple[str, DataFr
     return out.select(*items.columns, filled.alias(value), source.alias("source"))
 
 
-def linear_order(closure: DataFrame) -> DataFrame:
-    """``(src, dst, position)``: each ancestor's place in the order in which lookups visit them.
+def linear_order(bases: DataFrame) -> DataFrame:
+    """``(src, dst, position)``: each ancestor's place in the order in which lookups visit them, 0 the first.
 
-    ``closure(src, dst)`` is transitive. An ancestor comes behind those ancestors of ``src`` that it is above of.
+    ``bases (src, dst, place)``: the direct bases of a type in the order in which it names them, ``place`` null where it
+    doesn't matter. A type comes before its bases, an earlier base of a type before a later one, and so on through what
+    these rules put in between. Types whose ancestors this leaves unordered, or puts in a circle, have no rows.
     """
-    a, x, b = closure.alias("a"), closure.alias("x"), closure.alias("b")
-    before = a.join(x, F.col("a.src") == F.col("x.src")).join(b, (F.col("b.src") == F.col("x.dst")) & (F.col("b.dst") == F.col("a.dst"))).groupBy(F.col("a.src").alias("src"), F.col("a.dst").alias("dst")).agg(F.countDistinct("x.dst").alias("n"))
-    return closure.join(before, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("position"))
-
-
-def listeners(published: DataFrame, listening: DataFrame, closure: DataFrame, catch_all: str) -> DataFrame:
+    own = bases.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", "place").distinct()
+    up = cut(closure.transitive_closure(own.select("src", "dst").distinct()), "ancestors")
+    i, j = own.alias("i"), own.alias("j")
+    named = i.join(j, (F.col("i.src") == F.col("j.src")) & (F.col("i.place") < F.col("j.place"))).where("i.dst != j.dst").select(F.col("i.dst").alias("src"), F.col("j.dst").alias("dst"))
+    before = up if named.isEmpty() else closure.transitive_closure(own.select("src", "dst").unionByName(named).distinct())
+    a, b = up.alias("a"), up.alias("b")
+    pairs = a.join(before.alias("p"), F.col("a.dst") == F.col("p.src")).join(b, (F.col("b.src") == F.col("a.src")) & (F.col("b.dst") == F.col("p.dst")))
+    behind = pairs.groupBy(F.col("b.src").alias("src"), F.col("b.dst").alias("dst")).agg(F.count_distinct("a.dst").alias("n"), F.bool_or(F.col("a.dst") == F.col("b.dst")).alias("circle"))
+    rows = up.join(behind, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("position"), F.coalesce("circle", F.lit(False)).alias("circle"))
+    # in a total order the positions are 0, 1, 2, ... without a gap
+    total = rows.groupBy("src").agg(F.count(F.lit(1)).alias("m"), F.count_distinct("position").alias("k"), F.max("position").alias("top"), F.bool_or("circle").alias("circle")).where("m = k AND top = m - 1 AND NOT circle").select("src")
+    return rows.join(total, "src", "left_semi").select("src", "dst", "position")
+
+
+def listeners(published: DataFrame, listening: DataFrame, ancestors: DataFrame, catch_all: str) -> DataFrame:
     """``(type, listener)``: who hears a published type: listeners to it, to an ancestor, or to everything.
 
-    ``published(type)``, ``listening(listener, type)``, ``closure(src, dst)``.
+    ``published(type)``, ``listening(listener, type)``, ``ancestors(src, dst)``.
     """
     own = published.select("type").distinct()
     heard = own.select("type", F.col("type").alias("heard"))
-    heard = heard.unionByName(own.join(closure, own.type == closure.src).select("type", F.col("dst").alias("heard"))).unionByName(own.select("type", F.lit(catch_all).alias("heard")))
+    heard = heard.unionByName(own.join(ancestors, own.type == ancestors.src).select("type", F.col("dst").alias("heard"))).unionByName(own.select("type", F.lit(catch_all).alias("heard")))
     return heard.join(listening.select("listener", F.col("type").alias("heard")), "heard").select("type", "listener").distinct()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom import resolution_queries  # noqa: F401  registers its queries
+from factloom import resolution_queries, verb_queries  # noqa: F401  register their queries
 from factloom.graph_queries import flagship
 from factloom.operators import orphans, rejects
 from factloom.registry import QUERIES, SQL, query
@@ -76,6 +76,13 @@ def p3_valid(spark: SparkSession, folder: str) -> DataFrame:
     return _staged(spark, folder).where(F.col("reason").isNull()).select("row_id", "csv_file", "values")
 
 
+@query()
+def p3_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid rows loaded under their columns' names and types: one struct for each file's layout, set where the row is of that file."""
+    layout_of = rejects.layouts(table(spark, folder, "raw_sources"), table(spark, folder, "raw_columns"))
+    return rejects.typed(rejects.read_staged(table(spark, folder, "raw_rows"), layout_of), layout_of)
+
+
 @query()
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per file and outcome."""

@@ -26,10 +26,43 @@ def sessions(events: DataFrame, at: str, gap: str, by: list[str], late: str | No
     return out.select(F.col("w.start").alias("session_start"), *by, "events")
 
 
-def keep_fresh(stream: DataFrame, rebuild: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
-    """Rebuild a derived table from each batch of changes; readers keep the last whole version until it is replaced."""
+def _pointer(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/CURRENT")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def keep_fresh(stream: DataFrame, source: Callable[[], DataFrame], rebuild: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
+    """Rebuild a derived table whenever its source has changed, as the stream of arriving files tells.
+
+    Each version is rebuilt from the whole of ``source()`` and written beside the others; only then the name of the
+    current one is replaced, in one step, so readers (``current``) always see a whole version, and the one before stays
+    for those still reading it. A version that was written in part is written anew.
+    """
+    spark = stream.sparkSession
 
     def swap(batch: DataFrame, number: int) -> None:
-        rebuild(batch).write.mode("overwrite").parquet(f"{target}/version={number}")
+        rebuild(source()).write.mode("overwrite").parquet(f"{target}/version={number}")
+        path, fs = _pointer(spark, target)
+        draft = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/NEXT")
+        out = fs.create(draft, True)
+        out.writeBytes(str(number))
+        out.close()
+        options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+        overwrite = spark.sparkContext._gateway.new_array(options, 1)
+        overwrite[0] = options.OVERWRITE
+        context.rename(draft, path, overwrite)
+        for old in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(target)):
+            name = old.getPath().getName()
+            if name.startswith("version=") and int(name.removeprefix("version=")) < number - 1:
+                fs.delete(old.getPath(), True)
 
     return stream.writeStream.foreachBatch(swap).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The last whole version that ``keep_fresh`` wrote; None before the first."""
+    path, fs = _pointer(spark, target)
+    if not fs.exists(path):
+        return None
+    return spark.read.parquet(f"{target}/version={spark.read.text(path.toString()).first()[0]}")

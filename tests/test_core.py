@@ -140,7 +140,9 @@ def test_nearest_prefix_division_routes(spark):
     rows = spark.createDataFrame([("g", 1), ("g", 1), ("g", 2), (None, 3)], "g string, v int")
     assert sorted(r.v for r in joins.nearest(rows, ["g"], [F.asc("v")]).collect()) == [1, 1, 3]
     items, pre = spark.createDataFrame([("abcd",), ("ab",), ("zz",), ("",), (None,)], "t string"), spark.createDataFrame([("a",), ("abc",), ("abc",)], "p string")
-    assert {(r.t, r.p) for r in joins.longest_prefix(items, "t", pre, "p", 10).collect()} == {("abcd", "abc"), ("ab", "a")}
+    assert {(r.t, r.p) for r in joins.longest_prefix(items, "t", pre, "p").collect()} == {("abcd", "abc"), ("ab", "a")}
+    long = spark.createDataFrame([("x" * 500,)], "t string")
+    assert joins.longest_prefix(long, "t", spark.createDataFrame([("x" * 400,)], "p string"), "p").first().p == "x" * 400 and joins.longest_prefix(items, "t", pre.limit(0), "p").count() == 0
     have = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("y", 1)], "g string, v int")
     assert [r.g for r in joins.divide(have, "g", "v", have).collect()] == ["x"]
     w, t = spark.createDataFrame([("/a/7/b",), ("/a//x/c/",), ("/q",)], "route string"), spark.createDataFrame([("/a/:id/b",), ("/a/{k}/*",), ("/a/x/c",)], "template string")
@@ -193,9 +195,15 @@ def test_stream_windows_and_refresh(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r.kind, r.events) for r in spark.table("win").collect()}
     assert got == {(r.kind, r.events) for r in events.tumbling(rows, "ts", "1 hour", ["kind"]).collect()} == {("a", 2), ("b", 1)}
-    q = events.keep_fresh(events.read(spark, str(tmp_path / "in"), rows), lambda b: b.groupBy("kind").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out" / "version=0")).count() == 2
+    out = str(tmp_path / "out")
+    assert events.current(spark, out) is None
+    for k in range(4):
+        # each version holds the whole source, not what came last
+        whole = lambda: spark.read.parquet(str(tmp_path / "in"))
+        events.keep_fresh(events.read(spark, str(tmp_path / "in"), rows), whole, lambda b: b.groupBy("kind").count(), out, str(tmp_path / "cp")).awaitTermination(60)
+        assert {(r.kind, r["count"]) for r in events.current(spark, out).collect()} == {("a", 2 + k), ("b", 1)}
+        rows.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(p for p in os.listdir(out) if p.startswith("version")) == ["version=2", "version=3"]
 
 
 def test_entry_works_without_text_operators():
@@ -243,7 +251,17 @@ def test_inheritance_order_and_listeners(spark):
     from factloom.operators import resolution
 
     up = spark.createDataFrame([("c", "b"), ("c", "a"), ("b", "a")], "src string, dst string")
-    assert {tuple(r) for r in resolution.linear_order(up).collect()} == {("c", "b", 0), ("c", "a", 1), ("b", "a", 0)}
+    assert {tuple(r) for r in resolution.linear_order(up.withColumn("place", F.lit(None).cast("int"))).collect()} == {("c", "b", 0), ("c", "a", 1), ("b", "a", 0)}
+    bases = "src string, dst string, place int"
+    diamond = [("d", "b", 0), ("d", "c", 1), ("b", "a", 0), ("c", "a", 0)]
+    got = {tuple(r) for r in resolution.linear_order(spark.createDataFrame(diamond + diamond[:1] + [(None, "a", 0), ("x", None, 0)], bases)).collect()}
+    assert got == {("d", "b", 0), ("d", "c", 1), ("d", "a", 2), ("b", "a", 0), ("c", "a", 0)}
+    # without an order of the bases, or with two that contradict each other, a type has none
+    loose = [(a, b, None) for a, b, _ in diamond]
+    assert {r.src for r in resolution.linear_order(spark.createDataFrame(loose, bases)).collect()} == {"b", "c"}
+    against = [("x", "a", 0), ("x", "b", 1), ("y", "b", 0), ("y", "a", 1), ("z", "x", 0), ("z", "y", 1)]
+    assert resolution.linear_order(spark.createDataFrame(against, bases)).count() == 0
+    assert resolution.linear_order(up.limit(0).withColumn("place", F.lit(0))).count() == 0
     listening = spark.createDataFrame([("own", "c"), ("above", "a"), ("any", "*"), ("other", "x")], "listener string, type string")
     got = resolution.listeners(spark.createDataFrame([("c",), ("c",), (None,)], "type string"), listening, up, "*").where("type = 'c'").collect()
     assert {r.listener for r in got} == {"own", "above", "any"} and len(got) == 3
@@ -292,3 +310,113 @@ def test_intermediate_tables_go_away(spark):
     assert table.rows == 3 and table.frame.count() == 3
     session.drop(table)
     assert not os.path.exists(table.path.removeprefix("file://"))
+
+
+def test_chains_are_read_back_and_verified(spark):
+    from factloom.operators import verbs
+
+    edges = closure.clean_edges(spark.createDataFrame([("a", "b", 1), ("a", "c", 2), ("b", "d", 3), ("c", "d", 0), ("d", "a", 0), ("d", "e", 5), (None, "e", 0)], "src string, dst string, rank int"), "src", "dst", "rank")
+    ends = lambda *rows: spark.createDataFrame(list(rows), "query string, node string")
+    levels = closure.bfs(edges.select("src", "dst"), ends(("q", "a"), ("r", "c")))
+    found = verbs.chains(levels, edges.select("src", "dst"), ends(("q", "e"), ("q", "x"), ("r", "b"), ("q", "a")))
+    rows = {(r.query, r.target): "" for r in found.collect()}
+    for r in sorted(found.collect(), key=lambda r: r.step):
+        rows[r.query, r.target] += r.node
+    assert rows == {("q", "e"): "abde", ("r", "b"): "cdab", ("q", "a"): "a"}
+    hops = verbs.hops_of_chains(found, edges)
+    assert {(r.step, r.src, r.rank) for r in hops.where("query = 'q'").collect()} == {(1, "a", 1), (2, "b", 3), (3, "d", 5)}
+    back = closure.bfs(closure.reverse(edges.select("src", "dst")), ends(("e", "e"), ("b", "b")))
+    assert verbs.unverified(hops, levels, back, edges).count() == 0
+    wrong = hops.where("step != 2 OR query = 'r'").unionByName(spark.createDataFrame([("q", "e", 2, "b", "z", 0)], hops.schema))
+    assert [tuple(r) for r in verbs.unverified(wrong, levels, back, edges).collect()] == [("q", "e")]
+    assert verbs.chains(levels, edges.select("src", "dst"), ends(("q", "x"))).count() == 0
+
+
+def test_impact_sections_and_affected_tests(spark):
+    from factloom.operators import changes, verbs
+
+    edges = closure.clean_edges(spark.createDataFrame([("t", "f", 2), ("f", "g", 1), ("t2", "g", 3), ("g", "g", 0), ("t", "h", 0), ("h", "g", 0)], "src string, dst string, rank int"), "src", "dst", "rank")
+    tests = spark.createDataFrame([("t",), ("t2",), ("g",), (None,)], "node string")
+    got = {(r.section, r.node, r.hops, r.worst) for r in verbs.impact(edges, spark.createDataFrame([("q", "g"), ("q", None)], "query string, node string"), tests).collect()}
+    assert got == {("calls", "f", 1, 1), ("calls", "h", 1, 0), ("calls", "t2", 1, 3), ("reaches", "t", 2, 0), ("tests", "t", 2, 0), ("tests", "t2", 1, 3)}
+    changed = spark.createDataFrame([("h",), ("t2",), ("none",)], "node string")
+    assert {(r.test, r.hops) for r in changes.affected(changed, edges.select("src", "dst"), tests).collect()} == {("t", 1), ("t2", 0)}
+
+
+def test_changed_lines_belong_to_the_innermost(spark):
+    from factloom.operators import changes
+
+    span = "id string, file string, start_line int, end_line int"
+    methods = spark.createDataFrame([("m", "f", 10, 20), ("in", "f", 12, 14), ("in", "f", 12, 14), ("x", None, 1, 9), ("bad", "f", 9, 2)], span)
+    types = spark.createDataFrame([("T", "f", 5, 40), ("U", "f", 5, 30), ("m", "g", None, 3)], span)
+    edits = spark.createDataFrame([("f", n) for n in (10, 12, 13, 13, 15, 5, 30, 35, 50)] + [("g", 1), (None, 1), ("f", None)], "file string, line int")
+    got = {(r.file, r.line, r.part, r.id) for r in changes.locate(edits, methods, types).collect()}
+    assert got == {("f", 10, "signature", "m"), ("f", 12, "signature", "in"), ("f", 13, "body", "in"), ("f", 15, "body", "m"), ("f", 5, "type", "U"), ("f", 30, "inside", "U"), ("f", 35, "inside", "T"), ("f", 50, "file", None), ("g", 1, "file", None)}
+    assert changes.locate(edits.limit(0), methods, types).count() == 0
+
+
+def test_context_scores_by_how_words_meet(spark):
+    from factloom.operators import verbs
+
+    rows = [("1", "visit", "a/b.js", False), ("2", "visitNode", "a/b.js", False), ("3", "order", "visit/c.js", False), ("4", "visit", "t/b.js", True), ("5", "revisited", "", False), ("6", None, None, None), ("7", "validation", None, None), ("8", "other", "zz", None)]
+    symbols = spark.createDataFrame(rows, "id string, name string, path string, is_test boolean")
+    got = {r.id: r for r in verbs.context(symbols, ["visit", "validator"]).collect()}
+    assert set(got) == {"1", "2", "3", "4", "5", "7"} and got["1"].score > got["2"].score > got["3"].score > got["5"].score
+    assert abs(got["4"].score - 0.05 * got["1"].score) < 0.01 and got["7"].matched == ["validator"] and got["2"].matched == ["visit"]
+    assert {(r.term, r.id) for r in verbs.seeds(verbs.context(symbols, ["visit", "validator"])).collect()} == {("visit", "1"), ("validator", "7")}
+    assert verbs.context(symbols.limit(0), ["visit"]).count() == 0 and verbs.context(symbols, []).count() == 0
+    assert verbs.terms_of("Why does the onUnmounted hook fail in v2?") == ["onunmounted", "unmounted", "hook", "fail"] and verbs.terms_of("the test") == ["the", "test"]
+
+
+def test_members_shadow_and_dispatch(spark):
+    from factloom.operators import members
+
+    up = spark.createDataFrame([(t, t, 0) for t in "abcd"] + [("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("d", "a", 1)], "type string, owner string, depth int")
+    declared = spark.createDataFrame([("a", "m"), ("a", "n"), ("b", "m"), ("b", "m"), ("d", "m"), (None, "m"), ("a", None)], "owner string, member string")
+    got = {(r.type, r.member): r.owner for r in members.lookup(up, declared).collect()}
+    assert got == {("a", "m"): "a", ("a", "n"): "a", ("b", "m"): "b", ("b", "n"): "a", ("c", "m"): "b", ("c", "n"): "a", ("d", "m"): "d", ("d", "n"): "a"}
+    sites = spark.createDataFrame([(1, "a", "m"), (2, "a", "n"), (3, "b", "m"), (4, "a", "z"), (5, None, "m"), (6, "c", "m")], "site int, type string, member string")
+    live = spark.createDataFrame([("c",), ("d",), ("a",)], "type string")
+    tiers_of = {r.site: (r.targets, r.tier) for r in members.dispatch(sites, up, declared, live, 2).collect()}
+    assert tiers_of == {1: (3, "fan_capped"), 2: (1, "known_edge"), 3: (1, "known_edge"), 4: (0, "unresolved"), 5: (0, "unresolved"), 6: (1, "known_edge")}
+
+
+def test_overloads_by_phase_and_dominance(spark):
+    from factloom.operators import members
+
+    at = lambda key, rows: spark.createDataFrame(rows, f"{key} string, pos int, type string")
+    args = at("call", [("x", 0, "int"), ("x", 1, "str"), ("y", 0, "int"), ("z", 0, "odd")])
+    params = at("candidate", [("f", 0, "long"), ("f", 1, "str"), ("g", 0, "any"), ("g", 1, "str"), ("h", 0, "box"), ("h", 1, "str"), ("one", 0, "box"), ("two", 0, "odd"), ("two", 1, "odd")])
+    pairs = spark.createDataFrame([(c, k) for c in "xyzw" for k in ("f", "g", "h", "one", "two", "none")] + [("x", "f")], "call string, candidate string")
+    strict = spark.createDataFrame([("int", "long"), ("int", "any"), ("long", "any")], "arg string, param string")
+    loose = spark.createDataFrame([("int", "box")], "arg string, param string")
+    got = {tuple(r) for r in members.overloads(args, params, pairs, strict, loose).collect()}
+    assert got == {("x", "f", "strict"), ("y", "one", "loose"), ("w", "none", "strict")}
+    assert members.overloads(args.limit(0), params, pairs.limit(0), strict, loose).count() == 0
+
+
+def test_joins_by_capped_keys_and_content(spark):
+    rows = lambda value, pairs: spark.createDataFrame(pairs, f"k string, {value} string")
+    writes = rows("w", [("a", "1"), ("a", "1"), ("b", "1"), ("b", "2"), ("c", "3"), (None, "4"), ("a", None), ("d", "x")])
+    registers = rows("d", [("a", "x"), ("b", "y"), ("c", "p"), ("c", "q"), ("c", "r"), ("d", "x")])
+    assert {tuple(r) for r in joins.capped_both(writes, registers, "k", "w", "d", 2, 1).collect()} == {("1", "x", "a")}
+    texts, needles = spark.createDataFrame([("a.visitNode.b",), ("visit",), ("xx",), (None,), ("a.visitNode.b",)], "t string"), spark.createDataFrame([("visit",), ("Node",), ("zzz",), ("xx",), (None,)], "n string")
+    assert {tuple(r) for r in joins.containing(texts, "t", needles, "n").collect()} == {("a.visitNode.b", "visit"), ("a.visitNode.b", "Node"), ("visit", "visit")}
+    open_, t = spark.createDataFrame([("/a/:x/c",), ("/:a/:b",), ("",), (None,)], "route string"), spark.createDataFrame([("/a/b/{k}",), ("/p/q",), ("/",)], "template string")
+    assert {tuple(r) for r in joins.match_routes(open_, t).collect()} == {("/a/:x/c", "/a/b/{k}", 1)}
+
+
+def test_relations_that_define_each_other(spark):
+    edges = spark.createDataFrame([(k, (k + 1) % 5) for k in range(5)], "src int, dst int")
+    step = lambda fresh, known: fresh.join(edges, fresh.node == edges.src).select(F.col("dst").alias("node"))
+    start = spark.createDataFrame([(0,), (0,)], "node int")
+    both = closure.fixpoint({"even": start, "odd": start.limit(0)}, [("odd", "even", step), ("even", "odd", step)])
+    assert {r.node for r in both["even"].collect()} == {r.node for r in both["odd"].collect()} == set(range(5)) and both["even"].count() == 5
+
+
+def test_typed_rows_of_all_files(spark):
+    layout = rejects.Layout(False, 2, ("number", "symbol"), ((), ()), (True, False), ("n", "s"))
+    other = rejects.Layout(True, 1, ("boolean",), ((),), (True,), ("yes",))
+    rows = spark.createDataFrame([(1, "a.csv", "7\t-"), (2, "a.csv", "x\ty"), (3, "b-c.csv", '"true"'), (4, None, "z"), (5, "a.csv", "8\tw")], "row_id long, csv_file string, raw_line string")
+    got = {r.row_id: r for r in rejects.typed(rejects.read_staged(rows, {"a.csv": layout, "b-c.csv": other}), {"a.csv": layout, "b-c.csv": other}).collect()}
+    assert set(got) == {1, 3, 5} and tuple(got[1].a_csv) == (7, None) and got[1].b_c_csv is None and tuple(got[3].b_c_csv) == (True,) and tuple(got[5].a_csv) == (8, "w")
