@@ -9,6 +9,7 @@ Defined cases: a null or empty text has no ids; strings that look like special t
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -91,11 +92,21 @@ def pretokens(char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.append(start[1:], n)
 
 
+def splits_as_here(path: str) -> bool:
+    """Whether a tokenizer's file asks for just the split rule of ``pretokens``, on texts as they stand."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    return bool(plain and not spec.get("normalizer") and (spec.get("model") or {}).get("type", "BPE") == "BPE")
+
+
 class WordTable:
     """Ids of pre-tokens, as one flat array with starts and lengths.
 
-    Pre-tokens are looked up by a 64-bit polynomial hash and then compared character by character, so that equal
-    hashes of different words cannot give wrong ids.
+    Pre-tokens are looked up by a 64-bit polynomial hash and then compared character by character; texts in which two
+    different words share a hash are encoded whole, as are all texts by a tokenizer with another split rule or with a
+    normalizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -103,6 +114,7 @@ class WordTable:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.whole = not splits_as_here(path)
         self.power = self.inverse = np.ones(1, np.uint64)
         self.clear()
 
@@ -137,8 +149,13 @@ class WordTable:
                 self.power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
                 self.inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse)]))
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts in a row, and the count of words in each."""
+    def _all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``encode`` gives, by the library on whole texts."""
+        rows = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.int32), *rows]), np.array([len(r) for r in rows], np.int64)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Word numbers of all texts in a row, and the count of words in each; None where two words share a hash."""
         if len(self.at) > MAX_WORDS:
             self.clear()
         mark = np.full(1, sys.maxunicode + 1, np.uint32)
@@ -173,23 +190,29 @@ class WordTable:
         at = np.asarray(number, np.int64)[code]
         size = end - start
         if not np.array_equal(size, self.length[at]):
-            raise RuntimeError("two pre-tokens share a hash")
+            return None
         before = np.cumsum(size) - size
         step = np.arange(int(size.sum()))
         if not np.array_equal(char[np.repeat(start - before, size) + step], self.text[np.repeat(self.begin[at] - before, size) + step]):
-            raise RuntimeError("two pre-tokens share a hash")
+            return None
         return at, counts
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Number of ids of each text."""
-        at, counts = self.words(texts)
+        found = None if self.whole else self.words(texts)
+        if found is None:
+            return self._all(texts)[1]
+        at, counts = found
         total = np.concatenate([[0], np.cumsum(self.size[at])])
         end = np.cumsum(counts)
         return total[end] - total[end - counts]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the count of ids in each."""
-        at, counts = self.words(texts)
+        found = None if self.whole else self.words(texts)
+        if found is None:
+            return self._all(texts)
+        at, counts = found
         size = self.size[at]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]

@@ -34,6 +34,25 @@ def test_ids_of_odd_texts(text):
     assert table.encode([text])[0].tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_split_rules_and_equal_hashes_are_encoded_whole(tmp_path, monkeypatch):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    assert tokens.splits_as_here(PATH)
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = str(tmp_path / "other.json")
+    json.dump(spec, open(other, "w", encoding="utf-8"))
+    table, texts = tokens.WordTable(other), ["Hello  World", "", "don't"]
+    whole = [table.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = table.encode(texts)
+    assert table.whole and ids.tolist() == [x for r in whole for x in r] and counts.tolist() == table.lengths(texts).tolist() == [len(r) for r in whole]
+    same = tokens.WordTable(PATH)
+    same.encode(["ab cd"])
+    same.at = {h: 0 for h in same.at}  # as if all words had one hash
+    assert same.words(["cd"]) is None or same.encode(["ab cd"])[0].tolist() == same.tokenizer.encode("ab cd", add_special_tokens=False).ids
+    assert same.encode(["ab cd"])[0].tolist() == same.tokenizer.encode("ab cd", add_special_tokens=False).ids
+
+
 def test_encode_and_decode_tables(spark):
     df = spark.createDataFrame([(1, "héllo", 5), (2, None, 5), (3, "", 5), (4, "x " * 30_000, 5)], "doc_id long, text string, ids int")
     got = {r.doc_id: r.ids for r in tokens.encode(df, PATH).collect()}
