@@ -76,7 +76,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documented functions of the files that parse."""
     docs = table(spark, folder, "documents")
     found = documented.documented(docs).select("doc_id", "method_name", "start_line").distinct()
-    return found.join(parsing.faults(docs).select("doc_id"), "doc_id", "left_anti")
+    return found.join(parsing.faults(documented.readable(docs)).select("doc_id"), "doc_id", "left_anti")
 
 
 @query
