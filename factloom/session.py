@@ -8,7 +8,7 @@ import uuid
 from contextlib import suppress
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 #: Folders that were written and not deleted yet, by the session's id.
@@ -42,13 +42,18 @@ class Written:
     rows: int
 
 
-def written(df: DataFrame, name: str) -> Written:
-    """Write ``df`` into the shared folder, counting its rows on the way."""
-    spark, seen = df.sparkSession, Observation()
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, {})[path] = spark
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return Written(spark.read.schema(df.schema).parquet(path), path, seen.get["rows"])
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> Written:
+    """Write ``df`` into the shared folder, and count its rows by the files' footers."""
+    frame, path = _write(df, name)
+    return Written(frame, path, frame.count())
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -57,7 +62,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The written table survives the loss of executors, cuts the lineage, and is computed once however often the
     result is used. It stays until ``clean`` deletes it, at the latest when the process ends.
     """
-    return written(df, name).frame
+    return _write(df, name)[0]
 
 
 def drop(*tables: Written) -> None:
