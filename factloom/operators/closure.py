@@ -103,6 +103,14 @@ def parents(levels: DataFrame, edges: DataFrame) -> DataFrame:
     return back.join(b, near).select("a.query", "a.node", F.col("b.node").alias("parent"), "a.hops")
 
 
+def leaps(levels: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(query, node)``: nodes with an edge from a level more than one nearer than theirs, or to which an edge leads though
+    they have no level. None if the levels of ``bfs`` are right; edges from ``max_depth`` lead out of what was walked."""
+    near = levels if max_depth is None else levels.where(F.col("hops") < max_depth)
+    next_to = near.join(edges, near.node == edges.src).groupBy("query", F.col("dst").alias("node")).agg(F.min("hops").alias("near"))
+    return next_to.join(levels, ["query", "node"], "left").where("hops IS NULL OR hops > near + 1").select("query", "node")
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     """Edges turned around."""
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.names import subtokens
 from factloom.operators import closure
-from factloom.session import cut
+from factloom.session import cut, drop, written
 
 
 def chains(levels: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -45,6 +46,29 @@ def hops_of_chains(found: DataFrame, edges: DataFrame) -> DataFrame:
     return hops.join(edges.groupBy("src", "dst").agg(F.min("rank").alias("rank")), ["src", "dst"]).select("query", "target", "step", "src", "dst", "rank")
 
 
+def walk_back(levels: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(query, node, hops)``: the fewest hops back from each target of ``targets (query, node)`` that ``levels`` reach,
+    here named ``query``, to the starts of its queries.
+
+    A walk that starts at level 0 and skips no level (``closure.leaps`` says whether any can) has come at least as many
+    hops as a node's level when it is there. So a node whose level and hops back are together more than the target's
+    level lies on no walk as short, and is not followed: otherwise every target would be paired with all that leads to it.
+    """
+    ends = levels.join(targets.select("query", "node").distinct(), ["query", "node"], "left_semi")
+    level = written(ends.select("query", F.col("node").alias("target"), "node", F.col("hops").alias("room"), F.col("hops").alias("left")), "back")
+    met, old = [], []
+    for depth in count(1):
+        met.append(level.frame.where("left = 0").select(F.col("target").alias("query"), "node", F.lit(depth - 1).alias("hops")))
+        old.append(level)
+        step = level.frame.alias("a").join(edges.alias("e"), F.col("a.node") == F.col("e.dst")).select("a.query", "a.target", F.col("e.src").alias("node"), "a.room").distinct()
+        level = written(step.join(levels.select("query", "node", F.col("hops").alias("left")), ["query", "node"]).where(F.col("left") + depth <= F.col("room")).select("query", "target", "node", "room", "left"), "back")
+        if not level.rows:
+            break
+    back = cut(reduce(DataFrame.unionByName, met).groupBy("query", "node").agg(F.min("hops").alias("hops")), "starts")
+    drop(*old, level)
+    return back
+
+
 def unverified(hops: DataFrame, levels: DataFrame, back: DataFrame, edges: DataFrame) -> DataFrame:
     """Chains that a second look does not bear out: a hop that is no edge, or a length that the walk backwards from the
     targets, ``back``, does not give to their start. None if all is right."""

@@ -46,10 +46,11 @@ def path_verified(spark, folder):
     edges, aims = _next_part(spark, folder), _aims(spark, folder)
     levels = closure.bfs(edges, _parts(spark, folder, "p_partkey IN (1, 2)"), closure.MAX_DEPTH)
     hops = verbs.hops_of_chains(verbs.chains(levels, edges, aims), edges.withColumn("rank", F.lit(0)))
-    back = closure.bfs(closure.reverse(edges), _parts(spark, folder, _AIM, F.col("p_partkey")), closure.MAX_DEPTH)
+    back = verbs.walk_back(levels, edges, aims)
     ends = hops.groupBy("query", "target").agg(F.max("step").alias("length"), F.min_by("src", "step").alias("start"))
     other = back.select(F.col("query").alias("target"), F.col("node").alias("start"), F.col("hops").alias("backwards"))
-    wrong = verbs.unverified(hops, levels, back, edges).withColumn("verified", F.lit(False))
+    leapt = hops.join(closure.leaps(levels, edges, closure.MAX_DEPTH), "query", "left_semi").select("query", "target")
+    wrong = verbs.unverified(hops, levels, back, edges).unionByName(leapt).distinct().withColumn("verified", F.lit(False))
     rows = ends.join(other, ["target", "start"], "left").join(wrong, ["query", "target"], "left")
     return rows.select("query", "target", "length", "backwards", F.coalesce("verified", F.lit(True)).alias("verified"))
 

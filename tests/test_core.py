@@ -332,6 +332,28 @@ def test_chains_are_read_back_and_verified(spark):
     assert verbs.chains(levels, edges.select("src", "dst"), ends(("q", "x"))).count() == 0
 
 
+def test_the_walk_back_keeps_to_ways_as_short(spark, monkeypatch):
+    from factloom.operators import verbs
+
+    # a ladder of ways from 0 to 4, and 200 other nodes that lead to the target but lie on no way
+    pairs = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 0), (1, 1)] + [(k, 4) for k in range(100, 200)] + [(k + 100, k) for k in range(100, 200)]
+    edges = closure.clean_edges(spark.createDataFrame(pairs, "src long, dst long"))
+    ends = lambda *rows: spark.createDataFrame(list(rows), "query string, node long")
+    seeds, aims = ends(("q", 0), ("r", 3)), ends(("q", 4), ("r", 4), ("r", 1), ("q", 150), ("q", 0))
+    levels = closure.bfs(edges, seeds)
+    rows, write = [], verbs.written
+    monkeypatch.setattr(verbs, "written", lambda df, name: rows.append(write(df, name)) or rows[-1])
+    got = {(r.query, r.node, r.hops) for r in verbs.walk_back(levels, edges, aims).collect()}
+    assert sum(t.rows for t in rows) == 12
+    every = closure.bfs(closure.reverse(edges), spark.createDataFrame([(4, 4), (1, 1), (0, 0)], "query long, node long"))
+    assert got == {(r.query, r.node, r.hops) for r in every.collect()} & {(4, 0, 3), (4, 3, 1), (1, 3, 3), (0, 0, 0)} and len(got) == 4
+    assert closure.leaps(levels, edges).count() == 0
+    short = closure.bfs(edges, seeds, 2)
+    assert closure.leaps(short, edges, 2).count() == 0 and {tuple(r) for r in closure.leaps(short, edges).collect()} == {("q", 4), ("r", 1), ("r", 2)}
+    late = levels.withColumn("hops", F.when(F.expr("node = 3 AND query = 'q'"), 5).otherwise(F.col("hops")))
+    assert {tuple(r) for r in closure.leaps(late, edges).collect()} == {("q", 3)}
+
+
 def test_impact_sections_and_affected_tests(spark):
     from factloom.operators import changes, verbs
 
