@@ -1,12 +1,13 @@
 """Personal information in free text: mailboxes, phones, identity numbers, street addresses, names.
 
-A character-level BiLSTM-CRF reads windows of the text and tags mentions; what it decodes is what is found. Windows are
-laid around places that a look at character classes finds (a sign for "at", runs of digits, a number next to a
-capitalised word, capitals in a row); no form or word list decides about them. The tagger is trained on windows of a
-bounded sample of documents, labelled by the known forms of numbers and addresses and, for names, by a lexicon that the
+A character-level BiLSTM-CRF reads the text and tags mentions; what it decodes is what is found. It reads every line of
+every text from end to end, in windows; a window that occurred before is not read again. The tagger is trained on a
+bounded sample of documents: on windows around places where a mention could be by a look at character classes (a sign
+for "at", runs of digits, a number next to a capitalised word, capitals in a row), on other lines, and once more on
+those windows of the sample that it then reads otherwise than they are labelled. They are labelled by the known forms of numbers and addresses and, for names, by a lexicon that the
 sample itself gives: family names are what stands behind initials, given names what stands before many of them, and so
 on in turns. In part of the training windows other words of the sample take a name's place, so that the tagger learns
-where names stand and not only how these ones are spelt. Long stretches are read in overlapping windows, of which each
+where names stand and not only how these ones are spelt. Long lines are read in overlapping windows, of which each
 character takes the tag from the window in whose middle it lies nearer. A decoded span is then only put on word limits
 or, where a form of its type overlaps it, on that form's ends.
 
@@ -25,20 +26,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.tagger import Tagger, encode, pad
+from factloom.llm.tagger import Tagger
 from factloom.operators.sampling import smallest_hashes
 from factloom.session import cut
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 TAGS = 1 + 2 * len(TYPES)
 _NAME_STARTS = 1 + 2 * TYPES.index("person_name")
-#: Documents whose windows are labelled for training at most, and windows trained on.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4_000, 4_000
-HIDDEN, ROUNDS = 28, 12
+#: Documents whose windows are labelled for training at most, and windows and lines without places trained on.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_LINES = 4_000, 4_000, 2_000
+#: Rounds of training, and of those with what was read wrongly.
+HIDDEN, ROUNDS, AGAIN = 28, 12, 4
 #: Share of the training passages with names in which other words take the names' places.
 OTHER_NAMES = 0.3
-#: Characters before and behind a place, of a window at most, and that neighbouring windows share.
-BEFORE, BEHIND, LONGEST, SHARED = 26, 34, 160, 80
+#: Characters before and behind a place, of a window at most, and that neighbouring windows share; and windows whose tags
+#: a task keeps at most.
+BEFORE, BEHIND, LONGEST, SHARED, KEPT = 26, 34, 160, 80, 200_000
 
 # Letters of the alphabets that have capitals, up to Latin Extended Additional.
 _UP, _LOW = ("".join(c for c in map(chr, [*range(0x41, 0x530), *range(0x1E00, 0x1F00)]) if getattr(c, kind)()) for kind in ("isupper", "islower"))
@@ -108,7 +111,8 @@ def places(text: str) -> list[tuple[int, int]]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Starts and ends of the windows of a text: places with their surroundings, joined, and cut where too long."""
+    """Starts and ends of the windows around the places of a text, for the training sample: with their surroundings,
+    joined, and cut where too long."""
     spans: list[list[int]] = []
     for start, end in places(text):
         a, b = max(0, start - BEFORE), min(len(text), end + BEHIND)
@@ -116,13 +120,23 @@ def windows(text: str) -> list[tuple[int, int]]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    out = []
-    for a, b in spans:
-        while b - a > LONGEST:
-            out.append((a, a + LONGEST))
-            a += LONGEST - SHARED
-        out.append((a, b))
-    return out
+    return [w for a, b in spans for w in _short(a, b)]
+
+
+def _short(a: int, b: int) -> Iterator[tuple[int, int]]:
+    """A stretch in overlapping windows, if it is too long for one."""
+    while b - a > LONGEST:
+        yield a, a + LONGEST
+        a += LONGEST - SHARED
+    yield a, b
+
+
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")
+
+
+def pieces(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of the windows in which a text is read: its lines without the blanks around them, cut where too long."""
+    return [w for m in _LINE.finditer(text) for w in (_short(*m.span()) if m.end() - m.start() > LONGEST else (m.span(),))]
 
 
 def known_forms(text: str) -> list[tuple[int, int, str]]:
@@ -244,18 +258,23 @@ def _whole_words(text: str, a: int, b: int) -> str:
 
 
 def sample_windows(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[str]:
-    """Passages around windows of the ``most`` documents with the smallest hashes, each once."""
+    """Passages of the ``most`` documents with the smallest hashes, each once: those around windows and of
+    all other pieces as many at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, around = [], []
             for t in batch.column(1).to_pylist():
                 out += [_whole_words(t, max(0, a - 40), b + 40) for a, b in windows(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["passage"])
+                around += [True] * (len(out) - len(around))
+                out += [x for a, b in pieces(t) if not places(x := t[a:b])]
+                around += [False] * (len(out) - len(around))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(around, pa.bool_())], ["passage", "around"])
 
     ids = smallest_hashes(docs.select("doc_id"), "doc_id", most).distinct()
-    passages = cut(_texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, "passage string").distinct(), "passages")
-    return [r.passage for r in smallest_hashes(passages, "passage", 8 * SAMPLE_WINDOWS).collect()]
+    passages = cut(_texts(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, "passage string, around boolean").distinct(), "passages")
+    near, other = ([r.passage for r in smallest_hashes(passages.where(kind).select("passage"), "passage", 8 * SAMPLE_WINDOWS).collect()] for kind in ("around", "NOT around"))
+    return list(dict.fromkeys([*near, *other]))
 
 
 def _shape(text: str) -> str:
@@ -265,23 +284,26 @@ def _shape(text: str) -> str:
 
 def train(passages: list[str], seed: int = 11, rounds: int = ROUNDS) -> Tagger:
     """A tagger trained on labelled windows of the passages: those with mentions, of each kind and of several names as many,
-    some of them with other names put in, and others without, of as many looks as there are."""
+    some of them with other names put in, others without, of as many looks as there are, and lines without places."""
     names, pick = names_of(passages), np.random.default_rng(seed)
     words = sorted({w.capitalize() for p in passages for w in re.findall(r"(?<![\w-])[^\W\d_]{3,12}(?![\w-])", p)}) or ["Name"]
     by: dict[tuple[int, bool], dict[str, list[int]]] = {}
     plain: dict[str, tuple[str, list[int]]] = {}
+    other: dict[str, tuple[str, list[int]]] = {}
+    seen: dict[str, list[int]] = {}
     for p in passages:
         mentions = label(p, names)
         read = [(p, mentions)]
         if any(kind == "person_name" for *_, kind in mentions) and pick.random() < OTHER_NAMES:
             read = [other_names(p, mentions, words, pick)]
         for text, found in read:
-            for a, b in windows(text):
+            for a, b in pieces(text):
                 tags = _tags(b - a, found, a)
                 if any(tags):
                     by.setdefault((max(tags), tags.count(_NAME_STARTS) > 1), {})[text[a:b]] = tags
                 else:
-                    plain.setdefault(_shape(text[a:b]), (text[a:b], tags))
+                    (plain if places(text[a:b]) else other).setdefault(_shape(text[a:b]), (text[a:b], tags))
+                seen[text[a:b]] = tags
     # rarer kinds are taken first
     chosen: dict[str, list[int]] = {}
     lists = sorted(by.values(), key=len)
@@ -290,9 +312,17 @@ def train(passages: list[str], seed: int = 11, rounds: int = ROUNDS) -> Tagger:
         take = list(own.items())[: max(0, room - len(chosen)) // (len(lists) - k)]
         chosen |= dict(take)
     chosen |= dict(list(plain.values())[: SAMPLE_WINDOWS - len(chosen)])
+    chosen |= dict(list(other.values())[:SAMPLE_LINES])
     tagger = Tagger.fresh(HIDDEN, TAGS, seed)
     if chosen:
         tagger.train(list(chosen), list(chosen.values()), rounds)
+        rest, wrong = sorted(seen, key=len), {}
+        for k in range(0, len(rest), 256):
+            part = rest[k : k + 256]
+            wrong |= {x: seen[x] for x, tags in zip(part, tagger.tags(part)) if x not in chosen and (tags or [0] * len(x)) != seen[x]}
+        if wrong:
+            chosen |= {x: wrong[x] for x in sorted(wrong, key=lambda x: x[::-1])[:SAMPLE_WINDOWS]}
+            tagger.train(list(chosen), list(chosen.values()), AGAIN, rate=0.004)
     return tagger
 
 
@@ -341,26 +371,34 @@ def snap(kind: str, a: int, b: int, text: str) -> list[tuple[int, int]]:
     return [(a, b)] if a < b and _LEAST[kind].match(text, a, b) else []
 
 
-def decode(texts: list[str], tagger: Tagger, batch: int = 256) -> list[list[tuple[int, int, str, bool]]]:
-    """Mentions of each text with whether they differ from the decoded span, in order, without overlaps of one kind."""
-    cut: list[tuple[int, int, int]] = [(k, a, b) for k, t in enumerate(texts) for a, b in windows(t)]
-    known: dict[str, np.ndarray] = {}
-    todo = sorted({texts[k][a:b] for k, a, b in cut}, key=len)
+def decode(texts: list[str], tagger: Tagger, batch: int = 256, known: dict[str, list[int] | None] | None = None) -> list[list[tuple[int, int, str, bool]]]:
+    """Mentions of each text with whether they differ from the decoded span, in order, without overlaps of one kind.
+
+    ``known`` holds the tags of windows that were read, None where no tag is set, and takes those that are read now.
+    """
+    cut: list[tuple[int, int, int]] = [(k, a, b) for k, t in enumerate(texts) for a, b in pieces(t)]
+    parts = [texts[k][a:b] for k, a, b in cut]
+    known = {} if known is None else known
+    if len(known) > KEPT:
+        known.clear()
+    todo = sorted({x for x in parts if x not in known}, key=len)
     for s in range(0, len(todo), batch):
         part = todo[s : s + batch]
-        tags = tagger.decode(pad([encode(x) for x in part]))
-        known |= {x: t[: len(x)] for x, t in zip(part, tags)}
+        known |= zip(part, tagger.tags(part))
     out: list[list[tuple[int, int, str, bool]]] = [[] for _ in texts]
     k = last = 0
     while k < len(cut):
         # overlapping windows of one text are joined: each character follows the window it lies deeper in
         doc, a, b = cut[k]
-        tags = list(known[texts[doc][a:b]])
+        found = known[parts[k]]
         k += 1
+        if found is None and (k == len(cut) or cut[k][0] != doc or cut[k][1] >= b):
+            continue
+        tags = list(found or [0] * (b - a))
         while k < len(cut) and cut[k][0] == doc and cut[k][1] < b:
             _, x, y = cut[k]
             middle = (x + b) // 2
-            tags = tags[: middle - a] + list(known[texts[doc][x:y]][middle - x :])
+            tags = tags[: middle - a] + (known[parts[k]] or [0] * (y - x))[middle - x :]
             b = y
             k += 1
         at = 0
@@ -394,10 +432,11 @@ def mentions(docs: DataFrame, tagger: Tagger) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int] | None] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                found = decode(part.column(1).to_pylist(), tagger)
+                found = decode(part.column(1).to_pylist(), tagger, known=known)
                 at = pa.array([i for i, row in enumerate(found) for _ in row], pa.int64())
                 start, end, what, snapped = zip(*[x for row in found for x in row]) if len(at) else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(what, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(snapped, pa.bool_())], ["doc_id", "pii_type", "start_char", "end_char", "snapped"])
@@ -410,12 +449,13 @@ def redact(docs: DataFrame, tagger: Tagger) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int] | None] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 texts = part.column(1).to_pylist()
                 out = []
-                for text, found in zip(texts, decode([t or "" for t in texts], tagger)):
+                for text, found in zip(texts, decode([t or "" for t in texts], tagger, known=known)):
                     parts, last = [], 0
                     for a, b, what, _ in found:
                         if a >= last:

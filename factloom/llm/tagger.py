@@ -78,12 +78,63 @@ class Tagger:
         return np.concatenate([states[:, 0], states[::-1, 1]], 2)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Tag scores (T, B, tags)."""
-        return self._join(self._forward(ids, False)[0]) @ self.out + self.bias
+        """Tag scores (T, B, tags): ``_forward`` with every step in place and nothing kept but the states."""
+        (b, t), h = ids.shape, self.recur.shape[1]
+        both = np.stack([ids.T, ids.T[::-1]], 1)
+        full = bool((ids[:, -1] != PAD).all())
+        live = None if full else (both != PAD).astype(np.float32)[..., None]
+        # gates come first, so that each is one stretch of memory; a sigmoid is half a hyperbolic tangent of half its
+        # argument, and a half
+        half = np.array([0.5, 0.5, 0.5, 1.0], np.float32)[:, None, None, None]
+        recur = np.ascontiguousarray(self.recur.reshape(2, h, 4, h).transpose(2, 0, 1, 3)) * half
+        table = (self.table.reshape(2, -1, 4, h).transpose(2, 0, 1, 3) * half).reshape(-1, h)
+        at = (np.arange(8) * self.table.shape[1]).reshape(4, 2, 1)
+        s, c = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
+        z, own, g = np.empty((4, 2, b, h), np.float32), np.empty((4, 2, b, h), np.float32), np.empty((2, b, h), np.float32)
+        states = np.empty((t, 2, b, h), np.float32)
+        for k in range(t):
+            np.matmul(s, recur, out=z)
+            np.take(table, both[k] + at, 0, own, "clip")
+            z += own
+            np.tanh(z, out=z)
+            gates = z[:3]
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(z[0], z[3], out=g)
+            c *= z[1]
+            c += g
+            if live is not None:
+                c *= live[k]
+            np.tanh(c, out=g)
+            s = states[k]
+            np.multiply(g, z[2], out=s)
+        return states[:, 0] @ self.out[:h] + states[::-1, 1] @ self.out[h:] + self.bias
+
+    def tags(self, texts: list[str]) -> list[list[int] | None]:
+        """Best tags of each text, None where no tag is set.
+
+        Where tag 0 leads everywhere by more than transitions can give to other tags, it needs no search: a run of ``n``
+        other tags gains at most the ways in and out and ``n - 1`` steps within over staying at 0.
+        """
+        ids = encoded(texts)
+        e = self.scores(ids)
+        stay, trans = self.trans[0, 0], self.trans[:-1]
+        into = max(float((trans[0, 1:] - stay).max()), float((self.trans[-1, 1:] - self.trans[-1, 0]).max()))
+        bound = max(into, into + float((trans[1:, 0] - stay).max()), float((trans[1:, 1:] - stay).max()), 0.0) + 1e-3
+        lead = np.where(ids.T == PAD, np.inf, e[..., 0] - e[..., 1:].max(2)).min(0)
+        rows = np.flatnonzero(lead <= bound)
+        out: list[list[int] | None] = [None] * len(texts)
+        if len(rows):
+            for k, row in zip(rows.tolist(), self._best(ids[rows], e[:, rows])):
+                if row.any():
+                    out[k] = row[: len(texts[k])].tolist()
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Best tags (B, T) of padded rows."""
-        e = self.scores(ids)
+        return self._best(ids, self.scores(ids))
+
+    def _best(self, ids: np.ndarray, e: np.ndarray) -> np.ndarray:
         t, b, n = e.shape
         live = ids.T != PAD
         best = e[0] + self.trans[-1]
@@ -95,7 +146,7 @@ class Tagger:
             on = live[k][:, None]
             best = np.where(on, new, best)
             back[k] = np.where(on, step, np.arange(n)[None])
-        tags = np.empty((b, t), np.int8)
+        tags = np.zeros((b, t), np.int8)
         at = best.argmax(1)
         for k in range(t - 1, -1, -1):
             tags[:, k] = at
@@ -208,3 +259,22 @@ def pad(rows: list[list[int]]) -> np.ndarray:
     for k, r in enumerate(rows):
         out[k, : len(r)] = r
     return out
+
+
+_FEW = 0x530
+_ROWS = np.array([0, *encode("".join(map(chr, range(1, _FEW))))], np.int64)
+_ROWS[0] = OTHER
+
+
+def encoded(texts: list[str]) -> np.ndarray:
+    """``pad`` of the texts' ``encode``, character by character only for rare ones."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = _ROWS[np.minimum(points, _FEW - 1)]
+    rare = np.flatnonzero(points >= _FEW)
+    if len(rare):
+        kinds, at = np.unique(points[rare], return_inverse=True)
+        rows[rare] = np.array(encode("".join(map(chr, kinds.tolist()))), np.int64)[at]
+    sizes = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), int(sizes.max())), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = rows
+    return out

@@ -346,6 +346,54 @@ def test_personal_windows_lie_around_whatever_looks_like_a_mention():
     held()
 
 
+def test_personal_texts_are_read_from_end_to_end():
+    class Marker:
+        """Tags every Q and what follows it up to a Z as a name."""
+
+        def tags(self, texts):
+            out = []
+            for t in texts:
+                row, on = [], False
+                for c in t:
+                    row.append(9 if c == "Q" else 10 if on else 0)
+                    on = c == "Q" or on and c != "Z"
+                out.append(row if any(row) else None)
+            return out
+
+    text = "  // ask QMARIA ROSSIZ\r\n\n\tor in lower case qx\n" + "x = 1\n" * 40 + "y" * 500 + " QANNA BELLZ " + "z" * 300 + "\u2028QA BZ"
+    assert not personal.windows(text)
+    known = {}
+    got = personal.decode([text, "", "x = 1"], Marker(), known=known)
+    assert [text[a:b] for a, b, *_ in got[0]] == ["QMARIA ROSSIZ", "QANNA BELLZ", "QA BZ"] and got[1:] == [[], []]
+    assert known["x = 1"] is None and personal.decode([text], Marker(), known=known)[0] == got[0]
+
+    @given(st.text(alphabet="aZ1 .\n\t\r\u2028é", max_size=60), st.integers(1, 9))
+    @settings(max_examples=200, deadline=None)
+    def covered(part, times):
+        text = part * times * 3
+        spans = personal.pieces(text)
+        inside = {k for a, b in spans for k in range(a, b)}
+        assert {k for k, c in enumerate(text) if not c.isspace()} <= inside and all(0 < b - a <= personal.LONGEST for a, b in spans)
+
+    covered()
+
+
+def test_tagger_reads_as_its_search_does():
+    model = tagger.Tagger.fresh(6, 5, 3)
+    model.bias[0] = 1.0
+    model.trans[:] = np.random.default_rng(5).normal(0, 0.3, model.trans.shape)
+    texts = ["", "a", "Anna Keller", "数据 naïve ½ x²\x00", "Ωмега 12", "long " * 20, "Żak 😀\ud800"][1:]
+    ids = tagger.encoded(texts)
+    assert (ids == tagger.pad([tagger.encode(t) for t in texts])).all()
+    slow = model._join(model._forward(ids, False)[0]) @ model.out + model.bias
+    live = ids.T != tagger.PAD
+    assert np.allclose(model.scores(ids)[live], slow[live], atol=1e-4)
+    for bias in (0.0, 1.0, 3.0):
+        model.bias[0] = bias
+        for t, row, fast in zip(texts, model.decode(ids), model.tags(texts)):
+            assert row[: len(t)].tolist() == (fast or [0] * len(t))
+
+
 def test_personal_spans_are_snapped_to_what_was_decoded():
     def snap(text, said, kind="person_name"):
         a = text.index(said)
