@@ -43,7 +43,8 @@ def hops_of_chains(found: DataFrame, edges: DataFrame) -> DataFrame:
     a, b = found.alias("a"), found.alias("b")
     pair = (F.col("a.query") == F.col("b.query")) & (F.col("a.target") == F.col("b.target")) & (F.col("b.step") == F.col("a.step") + 1)
     hops = a.join(b, pair).select("a.query", "a.target", F.col("b.step").alias("step"), F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-    return hops.join(edges.groupBy("src", "dst").agg(F.min("rank").alias("rank")), ["src", "dst"]).select("query", "target", "step", "src", "dst", "rank")
+    hops = cut(hops, "hops")  # few, so that Spark sends them to the edges and not the edges to them
+    return hops.join(edges.select("src", "dst", "rank"), ["src", "dst"]).groupBy("query", "target", "step", "src", "dst").agg(F.min("rank").alias("rank"))
 
 
 def walk_back(levels: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -73,7 +74,8 @@ def unverified(hops: DataFrame, levels: DataFrame, back: DataFrame, edges: DataF
     """Chains that a second look does not bear out: a hop that is no edge, or a length that the walk backwards from the
     targets, ``back``, does not give to their start. None if all is right."""
     ends = hops.groupBy("query", "target").agg(F.max("step").alias("length"), F.min_by("src", "step").alias("start"))
-    no_edge = hops.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select("query", "target").distinct()
+    met = edges.select("src", "dst").join(hops.select("src", "dst").distinct(), ["src", "dst"], "left_semi").distinct()
+    no_edge = hops.join(met, ["src", "dst"], "left_anti").select("query", "target").distinct()
     other = ends.join(back.select(F.col("query").alias("target"), F.col("node").alias("start"), "hops"), ["target", "start"], "left")
     return no_edge.unionByName(other.where("hops IS NULL OR hops != length").select("query", "target")).distinct()
 

@@ -9,6 +9,7 @@ from factloom.graph_queries import _CALLS, _ID, _NEXT, _RANK_SQL, _calls, _next_
 from factloom.operators import changes, closure, joins, members, tiers, verbs
 from factloom.operators.orphans import clean_id
 from factloom.registry import query
+from factloom.session import cut
 from factloom.sources.tables import table
 
 _PATH = "regexp_replace(replace({0}, chr(92), '/'), '^(\\./)+', '')"
@@ -45,7 +46,7 @@ def path_verified(spark, folder):
     """The length of each chain as found, the length that a second walk from the target gives, and whether hops and lengths bear each other out."""
     edges, aims = _next_part(spark, folder), _aims(spark, folder)
     levels = closure.bfs(edges, _parts(spark, folder, "p_partkey IN (1, 2)"), closure.MAX_DEPTH)
-    hops = verbs.hops_of_chains(verbs.chains(levels, edges, aims), edges.withColumn("rank", F.lit(0)))
+    hops = cut(verbs.hops_of_chains(verbs.chains(levels, edges, aims), edges.withColumn("rank", F.lit(0))), "hops")
     back = verbs.walk_back(levels, edges, aims)
     ends = hops.groupBy("query", "target").agg(F.max("step").alias("length"), F.min_by("src", "step").alias("start"))
     other = back.select(F.col("query").alias("target"), F.col("node").alias("start"), F.col("hops").alias("backwards"))
