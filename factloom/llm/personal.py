@@ -316,10 +316,8 @@ def train(passages: list[str], seed: int = 11, rounds: int = ROUNDS) -> Tagger:
     tagger = Tagger.fresh(HIDDEN, TAGS, seed)
     if chosen:
         tagger.train(list(chosen), list(chosen.values()), rounds)
-        rest, wrong = sorted(seen, key=len), {}
-        for k in range(0, len(rest), 256):
-            part = rest[k : k + 256]
-            wrong |= {x: seen[x] for x, tags in zip(part, tagger.tags(part)) if x not in chosen and (tags or [0] * len(x)) != seen[x]}
+        rest = sorted(seen, key=len)
+        wrong = {x: seen[x] for x, tags in zip(rest, tagger.tags(rest)) if x not in chosen and (tags or [0] * len(x)) != seen[x]}
         if wrong:
             chosen |= {x: wrong[x] for x in sorted(wrong, key=lambda x: x[::-1])[:SAMPLE_WINDOWS]}
             tagger.train(list(chosen), list(chosen.values()), AGAIN, rate=0.004)
@@ -371,7 +369,7 @@ def snap(kind: str, a: int, b: int, text: str) -> list[tuple[int, int]]:
     return [(a, b)] if a < b and _LEAST[kind].match(text, a, b) else []
 
 
-def decode(texts: list[str], tagger: Tagger, batch: int = 256, known: dict[str, list[int] | None] | None = None) -> list[list[tuple[int, int, str, bool]]]:
+def decode(texts: list[str], tagger: Tagger, known: dict[str, list[int] | None] | None = None) -> list[list[tuple[int, int, str, bool]]]:
     """Mentions of each text with whether they differ from the decoded span, in order, without overlaps of one kind.
 
     ``known`` holds the tags of windows that were read, None where no tag is set, and takes those that are read now.
@@ -382,9 +380,7 @@ def decode(texts: list[str], tagger: Tagger, batch: int = 256, known: dict[str,
     if len(known) > KEPT:
         known.clear()
     todo = sorted({x for x in parts if x not in known}, key=len)
-    for s in range(0, len(todo), batch):
-        part = todo[s : s + batch]
-        known |= zip(part, tagger.tags(part))
+    known |= zip(todo, tagger.tags(todo))
     out: list[list[tuple[int, int, str, bool]]] = [[] for _ in texts]
     k = last = 0
     while k < len(cut):

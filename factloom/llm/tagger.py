@@ -1,13 +1,16 @@
-"""A character-level bidirectional LSTM with a CRF on top, trained and applied with numpy.
+"""A character-level bidirectional LSTM with a CRF on top, trained with numpy.
 
-Characters are looked up in a table of input projections, so only the recurrent products are computed per character;
-both directions run in one batched product. Training minimises the CRF's negative log likelihood with Adam; decoding is
+Characters are looked up in a table of input projections, so only the recurrent products are computed per character; in
+training both directions run in one batched product. Training minimises the CRF's negative log likelihood with Adam.
+Texts are read by onnxruntime where it is installed, a beginning or an end that several share once; decoding is
 Viterbi's algorithm over whole batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -16,6 +19,8 @@ _OWN = "\n" + "".join(map(chr, range(32, 127))) + "äöüßéíóáúñøåëº
 _AT = {c: k + 5 for k, c in enumerate(_OWN)}
 PAD, UPPER, LOWER, DIGIT, OTHER = range(5)
 SYMBOLS = len(_OWN) + 5
+#: Texts read in one go, and those of them searched for the best tags in one go.
+TOGETHER, SEARCHED = 4096, 256
 
 
 def encode(text: str) -> list[int]:
@@ -27,6 +32,68 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def _numpy_step(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States, cells and tag scores after one character more: ``ids`` are the characters, ``from`` says which of the
+    states ``s`` and cells ``c`` each follows."""
+    h = x["recur"].shape[0]
+    z = x["s"][x["from"]] @ x["recur"]
+    z += x["table"][x["ids"]]
+    gates = _sigmoid(z[:, : 3 * h])
+    c = gates[:, h : 2 * h] * x["c"][x["from"]] + gates[:, :h] * np.tanh(z[:, 3 * h :])
+    s = gates[:, 2 * h :] * np.tanh(c)
+    return s, c, s @ x["out"] + x["bias"]
+
+
+def _field(number: int, value: int | str | bytes) -> bytes:
+    """A field of a protobuf message."""
+
+    def varint(n: int) -> bytes:
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _step_model() -> bytes:
+    """``_numpy_step`` as an ONNX model; numbers of fields as in onnx.proto."""
+
+    def node(op: str, takes: str, gives: str, **attributes: int) -> bytes:
+        own = (_field(5, _field(1, k) + _field(3, v) + _field(20, 2)) for k, v in attributes.items())
+        return _field(1, b"".join([*(_field(1, x) for x in takes.split()), *(_field(2, x) for x in gives.split()), _field(4, op), *own]))
+
+    def value(number: int, name: str, kind: int, *dims: str) -> bytes:
+        shape = b"".join(_field(1, _field(2, d)) for d in dims)
+        return _field(number, _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, shape))))
+
+    real, whole = 1, 6  # float, int32
+    graph = [
+        node("Gather", "table ids", "x"), node("Gather", "s from", "s0"), node("Gather", "c from", "c0"),
+        node("Gemm", "s0 recur x", "z"), node("Split", "z", "zi zf zo zg", axis=1, num_outputs=4),
+        node("Sigmoid", "zi", "i"), node("Sigmoid", "zf", "f"), node("Sigmoid", "zo", "o"), node("Tanh", "zg", "g"),
+        node("Mul", "i g", "ig"), node("Mul", "f c0", "fc"), node("Add", "ig fc", "c1"),
+        node("Tanh", "c1", "tc"), node("Mul", "o tc", "s1"), node("Gemm", "s1 out bias", "e"), _field(2, "step"),
+        value(11, "table", real, "symbols", "h4"), value(11, "recur", real, "h", "h4"), value(11, "out", real, "h", "tags"), value(11, "bias", real, "tags"),
+        value(11, "s", real, "before", "h"), value(11, "c", real, "before", "h"), value(11, "ids", whole, "rows"), value(11, "from", whole, "rows"),
+        value(12, "s1", real, "rows", "h"), value(12, "c1", real, "rows", "h"), value(12, "e", real, "rows", "tags"),
+    ]
+    return _field(1, 8) + _field(7, b"".join(graph)) + _field(8, _field(1, "") + _field(2, 18))
+
+
+@cache
+def _step() -> Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``_numpy_step``, by onnxruntime where it is installed, which is quicker with sigmoids and hyperbolic tangents."""
+    try:
+        import onnxruntime
+    except ImportError:
+        return _numpy_step
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = options.inter_op_num_threads = 1
+    session = onnxruntime.InferenceSession(_step_model(), options, providers=["CPUExecutionProvider"])
+    return lambda x: session.run(None, x)
+
+
 @dataclass
 class Tagger:
     """Parameters: input table, recurrent weights of both directions, output layer, CRF transitions."""
@@ -78,56 +145,90 @@ class Tagger:
         return np.concatenate([states[:, 0], states[::-1, 1]], 2)
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Tag scores (T, B, tags): ``_forward`` with every step in place and nothing kept but the states."""
-        (b, t), h = ids.shape, self.recur.shape[1]
-        both = np.stack([ids.T, ids.T[::-1]], 1)
-        full = bool((ids[:, -1] != PAD).all())
-        live = None if full else (both != PAD).astype(np.float32)[..., None]
-        # gates come first, so that each is one stretch of memory; a sigmoid is half a hyperbolic tangent of half its
-        # argument, and a half
-        half = np.array([0.5, 0.5, 0.5, 1.0], np.float32)[:, None, None, None]
-        recur = np.ascontiguousarray(self.recur.reshape(2, h, 4, h).transpose(2, 0, 1, 3)) * half
-        table = (self.table.reshape(2, -1, 4, h).transpose(2, 0, 1, 3) * half).reshape(-1, h)
-        at = (np.arange(8) * self.table.shape[1]).reshape(4, 2, 1)
-        s, c = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
-        z, own, g = np.empty((4, 2, b, h), np.float32), np.empty((4, 2, b, h), np.float32), np.empty((2, b, h), np.float32)
-        states = np.empty((t, 2, b, h), np.float32)
+        """Tag scores (T, B, tags) of padded rows, 0 at padding."""
+        live = ids != PAD
+        e = np.zeros((*ids.shape, len(self.bias)), np.float32)
+        e[live] = self._flat_scores(ids)
+        return e.transpose(1, 0, 2)
+
+    def _flat_scores(self, ids: np.ndarray) -> np.ndarray:
+        """Tag scores of the characters of all rows, row by row without padding.
+
+        A state depends on what was read up to it alone, so texts with the same beginning share the states of one
+        direction up to where they differ, and those with the same end share the other's.
+        """
+        ids = ids.astype(np.uint8)
+        live = ids != PAD
+        turned = np.zeros_like(ids)
+        turned[live] = ids[:, ::-1][live[:, ::-1]]
+        first, at = self._walk(0, ids)
+        e = np.take(first, at[live], 0, mode="clip")
+        last, at = self._walk(1, turned)
+        e += np.take(last, at[:, ::-1][live[:, ::-1]], 0, mode="clip")
+        return e
+
+    def _walk(self, way: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tag scores that one direction gives, for each different beginning of the rows, and which beginning ends at each
+        character."""
+        b, t = ids.shape
+        h = self.recur.shape[1]
+        order = np.argsort(ids.view(f"S{t}")[:, 0])
+        rows = np.ascontiguousarray(ids[order].T)
+        # a character ends a new beginning where its row differs from the row before up to there
+        differ = rows[:, 1:] != rows[:, :-1]
+        for k in range(1, t):
+            differ[k] |= differ[k - 1]
+        new = rows != PAD
+        new[:, 1:] &= differ
+        at = np.cumsum(new, 1, dtype=np.int32) - 1
+        base = np.r_[0, np.cumsum(new.sum(1))]
+        # the bias is added once, forwards
+        weights = {"table": self.table[way], "recur": self.recur[way], "out": self.out[way * h : way * h + h], "bias": self.bias * (way == 0)}
+        step = _step()
+        e = np.empty((base[-1], len(self.bias)), np.float32)
+        kinds = rows.astype(np.int32)
+        s, c, before = np.zeros((1, h), np.float32), np.zeros((1, h), np.float32), np.zeros(b, np.int32)
         for k in range(t):
-            np.matmul(s, recur, out=z)
-            np.take(table, both[k] + at, 0, own, "clip")
-            z += own
-            np.tanh(z, out=z)
-            gates = z[:3]
-            gates *= 0.5
-            gates += 0.5
-            np.multiply(z[0], z[3], out=g)
-            c *= z[1]
-            c += g
-            if live is not None:
-                c *= live[k]
-            np.tanh(c, out=g)
-            s = states[k]
-            np.multiply(g, z[2], out=s)
-        return states[:, 0] @ self.out[:h] + states[::-1, 1] @ self.out[h:] + self.bias
+            own = np.flatnonzero(new[k])
+            s, c, e[base[k] : base[k + 1]] = step(weights | {"s": s, "c": c, "ids": kinds[k, own], "from": before[own]})
+            before = at[k]
+        nodes = np.empty((b, t), np.int32)
+        nodes[order] = (at + base[:-1, None].astype(np.int32)).T
+        return e, nodes
 
     def tags(self, texts: list[str]) -> list[list[int] | None]:
-        """Best tags of each text, None where no tag is set.
+        """Best tags of each text, none of which is empty; None where no tag is set.
 
         Where tag 0 leads everywhere by more than transitions can give to other tags, it needs no search: a run of ``n``
         other tags gains at most the ways in and out and ``n - 1`` steps within over staying at 0.
         """
+        out: list[list[int] | None] = []
+        for k in range(0, len(texts), TOGETHER):
+            out += self._tags(texts[k : k + TOGETHER])
+        return out
+
+    def _tags(self, texts: list[str]) -> list[list[int] | None]:
         ids = encoded(texts)
-        e = self.scores(ids)
+        sizes = (ids != PAD).sum(1)
+        e = self._flat_scores(ids)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
         stay, trans = self.trans[0, 0], self.trans[:-1]
         into = max(float((trans[0, 1:] - stay).max()), float((self.trans[-1, 1:] - self.trans[-1, 0]).max()))
         bound = max(into, into + float((trans[1:, 0] - stay).max()), float((trans[1:, 1:] - stay).max()), 0.0) + 1e-3
-        lead = np.where(ids.T == PAD, np.inf, e[..., 0] - e[..., 1:].max(2)).min(0)
+        by_tag = np.ascontiguousarray(e.T)
+        lead = np.minimum.reduceat(by_tag[0] - by_tag[1:].max(0), starts)
         rows = np.flatnonzero(lead <= bound)
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
         out: list[list[int] | None] = [None] * len(texts)
-        if len(rows):
-            for k, row in zip(rows.tolist(), self._best(ids[rows], e[:, rows])):
-                if row.any():
-                    out[k] = row[: len(texts[k])].tolist()
+        for k in range(0, len(rows), SEARCHED):
+            own = rows[k : k + SEARCHED]
+            t = sizes[own[-1]]
+            inside = np.arange(t) < sizes[own, None]
+            scores = np.zeros((*inside.shape, e.shape[1]), np.float32)
+            scores[inside] = e[(starts[own, None] + np.arange(t))[inside]]
+            for j, row in zip(own.tolist(), self._best(ids[own, :t], scores.transpose(1, 0, 2))):
+                if row[: sizes[j]].any():
+                    out[j] = row[: sizes[j]].tolist()
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -136,22 +237,21 @@ class Tagger:
 
     def _best(self, ids: np.ndarray, e: np.ndarray) -> np.ndarray:
         t, b, n = e.shape
-        live = ids.T != PAD
-        best = e[0] + self.trans[-1]
-        back = np.empty((t, b, n), np.int8)
+        last = (ids != PAD).sum(1) - 1
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))
+        trans, ways = np.ascontiguousarray(self.trans[:-1, :, None]), np.empty((n, n, b), np.float32)
+        best = np.empty((t, n, b), np.float32)
+        best[0] = e[0] + self.trans[-1][:, None]
         for k in range(1, t):
-            cand = best[:, :, None] + self.trans[None, :-1]
-            step = cand.argmax(1)
-            new = np.take_along_axis(cand, step[:, None], 1)[:, 0] + e[k]
-            on = live[k][:, None]
-            best = np.where(on, new, best)
-            back[k] = np.where(on, step, np.arange(n)[None])
+            np.add(best[k - 1][:, None], trans, out=ways)
+            np.maximum.reduce(ways, 0, out=best[k])
+            best[k] += e[k]
         tags = np.zeros((b, t), np.int8)
-        at = best.argmax(1)
+        at = best[-1].argmax(0)
         for k in range(t - 1, -1, -1):
+            if k < t - 1:
+                at = np.where(last > k, (best[k] + self.trans[:-1, at]).argmax(0), best[k].argmax(0))
             tags[:, k] = at
-            if k:
-                at = back[k][np.arange(b), at]
         return tags
 
     def _loss(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -262,7 +362,7 @@ def pad(rows: list[list[int]]) -> np.ndarray:
 
 
 _FEW = 0x530
-_ROWS = np.array([0, *encode("".join(map(chr, range(1, _FEW))))], np.int64)
+_ROWS = np.array([0, *encode("".join(map(chr, range(1, _FEW))))], np.uint8)
 _ROWS[0] = OTHER
 
 
@@ -273,8 +373,8 @@ def encoded(texts: list[str]) -> np.ndarray:
     rare = np.flatnonzero(points >= _FEW)
     if len(rare):
         kinds, at = np.unique(points[rare], return_inverse=True)
-        rows[rare] = np.array(encode("".join(map(chr, kinds.tolist()))), np.int64)[at]
+        rows[rare] = np.array(encode("".join(map(chr, kinds.tolist()))), np.uint8)[at]
     sizes = np.array([len(t) for t in texts])
-    out = np.zeros((len(texts), int(sizes.max())), np.int64)
+    out = np.zeros((len(texts), int(sizes.max())), np.uint8)
     out[np.arange(out.shape[1]) < sizes[:, None]] = rows
     return out

@@ -394,6 +394,25 @@ def test_tagger_reads_as_its_search_does():
             assert row[: len(t)].tolist() == (fast or [0] * len(t))
 
 
+def test_tagger_reads_what_texts_share_once(monkeypatch):
+    model = tagger.Tagger.fresh(6, 5, 4)
+    texts = [f"import org.example.{k};" for k in ("a", "ab", "b", "ab", "x" * 30)] + ["é", "import", "a;"]
+    ids = tagger.encoded(texts)
+    slow = (model._join(model._forward(ids, False)[0]) @ model.out + model.bias)[ids.T != tagger.PAD]
+    for step in (tagger._step(), tagger._numpy_step):
+        read = []
+
+        def counted(x, step=step):
+            read.append(len(x["ids"]))
+            return step(x)
+
+        monkeypatch.setattr(tagger, "_step", lambda counted=counted: counted)
+        assert np.allclose(model.scores(ids)[ids.T != tagger.PAD], slow, atol=1e-4)
+        assert sum(read) == len({t[:k] for t in texts for k in range(1, len(t) + 1)}) + len({t[k:] for t in texts for k in range(len(t))})
+        monkeypatch.setattr(tagger, "TOGETHER", 3)
+        assert model.tags(texts) == [model.tags([t])[0] for t in texts] and model.tags([]) == []
+
+
 def test_personal_spans_are_snapped_to_what_was_decoded():
     def snap(text, said, kind="person_name"):
         a = text.index(said)
